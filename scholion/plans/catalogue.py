@@ -1,4 +1,584 @@
-"""Queries by name and their SQL."""
+"""Queries over the driver's tables, one or more for each operator, with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from scholion.functions import predicates as P
+from scholion.functions import spans as S
+from scholion.functions.types import FieldType, coerced, with_default
+from scholion.operators import graph, index, joins, layers, sequence, validate
+from scholion.plans import derived
+from scholion.session import shared_dir
+from scholion.sources import blocked, documents
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def token_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.tokens(texts(spark, sf_dir))
+
+
+def line_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.lines(texts(spark, sf_dir))
+
+
+SQL_TOKEN = r"""WITH pieces AS (SELECT doc_id, unnest(l) AS piece, unnest(range(len(l))) AS pos FROM
+    (SELECT doc_id, regexp_extract_all(text, '[a-zA-Z]+|[0-9]+|[ \t\r\n\f\x0B]+|[^ \t\r\n\f\x0Ba-zA-Z0-9]') AS l FROM documents)),
+placed AS (SELECT doc_id, pos, piece, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS stop FROM pieces),
+token AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INT) AS node_id, CAST(stop - length(piece) AS INT) AS start, stop,
+    piece AS word, CASE WHEN regexp_matches(piece, '^[a-zA-Z]') THEN 'word' WHEN regexp_matches(piece, '^[0-9]') THEN 'number' ELSE 'other' END AS class
+    FROM placed WHERE NOT regexp_matches(piece, '^[ \t\r\n\f\x0B]'))"""
+SQL_LINE = r"""lines AS (SELECT doc_id, unnest(l) AS piece, unnest(range(len(l))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+line AS (SELECT doc_id, CAST(pos AS INT) AS node_id, CAST(stop - length(piece) AS INT) AS start, CAST(stop AS INT) AS stop, piece FROM
+    (SELECT doc_id, pos, piece, sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS stop FROM lines))"""
+SQL_BOTH = f"{SQL_TOKEN}, {SQL_LINE}"
+SQL_OVERLAP = "t.doc_id = g.doc_id AND t.start < greatest(g.stop, g.start + 1) AND g.start < greatest(t.stop, t.start + 1)"
+SQL_COVER = f"{SQL_OVERLAP} AND t.start >= g.start AND t.stop <= g.stop"
+SQL_GROUP = "SELECT g.doc_id, g.node_id, count(t.node_id) AS n, min(t.node_id) AS first, max(t.node_id) AS last FROM line g {} JOIN token t ON {} GROUP BY g.doc_id, g.node_id"
+
+
+# Scans, derived layers, projection
+
+
+@query(f"{SQL_TOKEN} SELECT doc_id, node_id, start, stop, word, class FROM token")
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_layer(spark, sf_dir).select("doc_id", "node_id", "text.start", "text.stop", "word", "class")
+
+
+@query(f"{SQL_TOKEN} SELECT doc_id, node_id, start, stop, word FROM token WHERE node_id = 3")
+def node_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.node_at(token_layer(spark, sf_dir), 3).select("doc_id", "node_id", "text.start", "text.stop", "word")
+
+
+@query(f"""{SQL_TOKEN}, s AS (SELECT doc_id, max(node_id) + 1 AS n FROM token GROUP BY doc_id)
+SELECT t.doc_id, t.node_id, t.word FROM token t JOIN s USING (doc_id) WHERE t.node_id >= n - 5 AND t.node_id < n - 1""")
+def node_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.node_slice(token_layer(spark, sf_dir), -5, -1).select("doc_id", "node_id", "word")
+
+
+@query(f"{SQL_TOKEN} SELECT t.doc_id, t.node_id, w.position, t.word FROM token t JOIN (VALUES (1, 0), (5, 1), (7, 2), (1, 3)) w(place, position) ON t.node_id = w.place")
+def take(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.take(token_layer(spark, sf_dir), [1, 5, 7, 1]).select("doc_id", "node_id", "position", "word")
+
+
+@query(f"{SQL_TOKEN} SELECT doc_id, arg_min(word, node_id) AS first, arg_max(word, node_id) AS last FROM token GROUP BY doc_id")
+def first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.first_last(token_layer(spark, sf_dir), "word")
+
+
+@query(f"{SQL_TOKEN} SELECT d.doc_id, count(t.node_id) AS n FROM documents d LEFT JOIN token t ON t.doc_id = d.doc_id AND t.class = 'number' GROUP BY d.doc_id")
+def node_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.node_count(texts(spark, sf_dir), token_layer(spark, sf_dir).where("class = 'number'"))
+
+
+@query(f"""{SQL_TOKEN} SELECT doc_id, node_id, word FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY node_id) AS f,
+row_number() OVER (PARTITION BY doc_id ORDER BY node_id DESC) AS b FROM token) WHERE f <= 5 OR b <= 5""")
+def head_and_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.head_and_tail(token_layer(spark, sf_dir), 10).select("doc_id", "node_id", "word")
+
+
+@query("""SELECT event_id, CAST(trunc(value) AS INT) AS as_int, CAST(trunc(value) AS BIGINT) AS as_long, value <> 0 AS as_bool, coalesce(try_cast(event_type AS INT), 0) AS bad_int,
+coalesce(TRY_CAST(event_type AS DOUBLE), 0.0) AS bad_double FROM events""")
+def coercing_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, e = F.col("value"), F.col("event_type")
+    return table(spark, sf_dir, "events").select("event_id", coerced(v, "i32").alias("as_int"), coerced(v, "i64").alias("as_long"), coerced(v, "i1").alias("as_bool"), coerced(e, "i32").alias("bad_int"), coerced(e, "f64").alias("bad_double"))
+
+
+# Predicates, over documents with fields that only some of them have
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(labels, "doc_id", "left")
+
+
+SQL_LABELLED = "(SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"
+
+
+@query(f"""SELECT doc_id, quality IS NOT DISTINCT FROM 1 AS eq, quality IS DISTINCT FROM 1 AS ne, coalesce(n_chars < 500, false) AS lt, coalesce(quality <= 0, false) AS le,
+coalesce(quality > 0, false) AS gt, coalesce(quality >= 1, false) AS ge, lang IN ('en', 'de') AS any_lang, quality IS NULL OR quality = 0 AS any_null, quality IS NULL AS is_none,
+quality IS NOT NULL AS has, NOT coalesce(quality > 0, false) AS not_gt FROM {SQL_LABELLED}""")
+def predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(spark, sf_dir).select(
+        "doc_id", P.eq("quality", 1).alias("eq"), P.ne("quality", 1).alias("ne"), P.lt("n_chars", 500).alias("lt"), P.le("quality", 0).alias("le"), P.gt("quality", 0).alias("gt"),
+        P.ge("quality", 1).alias("ge"), P.is_any("lang", "en", "de").alias("any_lang"), P.is_any("quality", 0, None).alias("any_null"), P.is_none("quality").alias("is_none"),
+        P.has_value("quality").alias("has"), P.negate(P.gt("quality", 0)).alias("not_gt"))
+
+
+def _filter(name: str, sql: str, condition: Callable[[], Column]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return labelled(spark, sf_dir).where(condition()).select("doc_id", "lang", "quality")
+
+    run.__name__ = name
+    query(f"SELECT doc_id, lang, quality FROM {SQL_LABELLED} WHERE {sql}")(run)
+
+
+_filter("pred_eq", "quality IS NOT DISTINCT FROM 1", lambda: P.eq("quality", 1))
+_filter("pred_eq_null", "quality IS NULL", lambda: P.eq("quality", None))
+_filter("pred_ne_null", "quality IS DISTINCT FROM 1", lambda: P.ne("quality", 1))
+_filter("pred_cmp", "n_chars >= 500 AND n_chars < 2000 AND quality <= 0", lambda: P.all_of(P.ge("n_chars", 500), P.lt("n_chars", 2000), P.le("quality", 0)))
+_filter("pred_isany", "lang IN ('fr', 'es')", lambda: P.is_any("lang", "fr", "es"))
+_filter("pred_none", "quality IS NULL", lambda: P.is_none("quality"))
+_filter("pred_has_value", "quality IS NOT NULL", lambda: P.has_value("quality"))
+_filter("pred_not_null_safe", "NOT coalesce(quality > 0, false)", lambda: ~P.gt("quality", 0))
+_filter("pred_and_or", "coalesce(quality = 1 AND lang = 'en', false) OR coalesce(toxic = 1, false)", lambda: P.any_of((F.col("quality") == 1) & (F.col("lang") == "en"), F.col("toxic") == 1))
+_filter("pred_function", "length(source) + n_chars % 7 > 8", lambda: P.matches(["source", "n_chars"], lambda a, b: F.length(a) + b % 7 > 8))
+
+
+@query(f"{SQL_TOKEN} SELECT doc_id, node_id, start, stop FROM token WHERE start >= 25 AND stop <= 60")
+def span_covered_const(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_layer(spark, sf_dir).where(P.covered_by("text", 25, 60)).select("doc_id", "node_id", "text.start", "text.stop")
+
+
+@query(f"{SQL_TOKEN} SELECT doc_id, node_id, start, stop, 60 > start AND 25 < stop AS open FROM token WHERE start <= 60 AND 25 <= stop")
+def span_intersect_const(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_layer(spark, sf_dir).where(P.intersected_by("text", 25, 60, closed=True))
+    return rows.select("doc_id", "node_id", "text.start", "text.stop", P.intersected_by("text", 25, 60).alias("open"))
+
+
+# Span functions
+
+
+def lines_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_layer(spark, sf_dir).withColumnRenamed("text", "s").join(texts(spark, sf_dir), "doc_id")
+
+
+@query(f"""WITH {SQL_LINE} SELECT doc_id, node_id, piece AS body, CAST(length(piece) AS INT) AS size, substring(piece, 3, 3) AS part, CASE WHEN length(piece) > 0 THEN substring(piece, 1, 1) END AS head,
+CASE WHEN length(piece) > 0 THEN substring(piece, length(piece), 1) END AS tail, substring(piece, greatest(1, length(piece) - 1), 2) AS ending FROM line""")
+def span_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, s = F.col("text"), F.col("s")
+    return lines_with_text(spark, sf_dir).select(
+        "doc_id", "node_id", S.covered_text(t, s).alias("body"), S.length(s).alias("size"), F.coalesce(S.covered_text(t, S.sub_span(s, F.lit(2), F.lit(5))), F.lit("")).alias("part"),
+        S.char_at(t, s, 0).alias("head"), S.char_at(t, s, -1).alias("tail"), S.covered_text(t, S.sub_span(s, F.lit(-2))).alias("ending"))
+
+
+@query(f"""WITH {SQL_LINE}, m AS (SELECT *, length(regexp_extract(piece, '^([\\s\\x1c-\\x1f\\x85\\p{{Z}}]*)', 1)) AS l, length(regexp_extract(piece, '([\\s\\x1c-\\x1f\\x85\\p{{Z}}]*)$', 1)) AS r FROM line)
+SELECT doc_id, node_id, CAST(start + l AS INT) AS start, CAST(greatest(start + l, stop - r) AS INT) AS stop, CAST(CASE WHEN l > 0 THEN stop ELSE stop - r END AS INT) AS either_stop FROM m""")
+def span_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, s = F.col("text"), F.col("s")
+    rows = lines_with_text(spark, sf_dir).select("doc_id", "node_id", S.trim(t, s).alias("x"), S.trim(t, s, "either").alias("y"))
+    return rows.select("doc_id", "node_id", "x.start", "x.stop", F.col("y.stop").alias("either_stop"))
+
+
+@query(f"""WITH {SQL_LINE}, n AS (SELECT *, lead(start) OVER w AS next_start, lead(stop) OVER w AS next_stop FROM line WINDOW w AS (PARTITION BY doc_id ORDER BY node_id))
+SELECT n.doc_id, n.node_id, n.start, n.next_stop AS stop, substring(d.text, n.start + 1, n.next_stop - n.start) AS body, false AS crossing, n.stop >= n.next_start AS touching FROM n JOIN documents d ON d.doc_id = n.doc_id WHERE n.next_start IS NOT NULL""")
+def span_to_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_layer(spark, sf_dir).withColumnRenamed("text", "s").withColumn("next", F.lead("s").over(layers.by_node())).where("next is not null")
+    rows = rows.join(texts(spark, sf_dir), "doc_id")
+    s, n = F.col("s"), F.col("next")
+    both = rows.select("doc_id", "node_id", S.span_to(s, n).alias("x"), S.text_to(F.col("text"), s, n).alias("body"), S.intersects(s, n).alias("crossing"), S.intersects(s, n, closed=True).alias("touching"))
+    return both.select("doc_id", "node_id", "x.start", "x.stop", "body", "crossing", "touching")
+
+
+@query("""SELECT doc_id, substring(text, 1, 4) AS a, substring(text, 15, 7) AS b, substring(text, greatest(1, length(text) - 3), greatest(0, length(text) - 2 - greatest(0, length(text) - 4))) AS c,
+length(text) >= 21 AS fits FROM documents""")
+def text_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    cut = lambda a, b: F.coalesce(S.covered_text(t, S.slice_text(t, a, b)), F.lit(""))
+    return texts(spark, sf_dir).select("doc_id", cut(None, F.lit(4)).alias("a"), cut(F.lit(14), F.lit(21)).alias("b"), cut(F.lit(-4), F.lit(-2)).alias("c"), S.exact_span(t, F.lit(14), F.lit(21)).isNotNull().alias("fits"))
+
+
+@query(f"""{SQL_TOKEN}, cuts AS (SELECT doc_id, start AS cut FROM token UNION SELECT doc_id, stop FROM token UNION SELECT doc_id, 0 FROM documents UNION SELECT doc_id, length(text) FROM documents),
+pairs AS (SELECT doc_id, cut, lead(cut) OVER (PARTITION BY doc_id ORDER BY cut) AS stop FROM cuts)
+SELECT p.doc_id, CAST(p.cut AS INT) AS start, substring(d.text, CAST(p.cut AS INT) + 1, CAST(p.stop - p.cut AS INT)) AS segment FROM pairs p JOIN documents d ON d.doc_id = p.doc_id WHERE p.stop IS NOT NULL""")
+def compile_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = token_layer(spark, sf_dir).groupBy("doc_id").agg(F.array_union(F.collect_set("text.start"), F.collect_set("text.stop")).alias("used"))
+    rows = texts(spark, sf_dir).join(used, "doc_id", "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
+    cuts = rows.select("doc_id", F.posexplode(S.text_segments(F.col("text"), F.col("used"))).alias("k", "segment"))
+    stop = F.sum(F.char_length("segment")).over(Window.partitionBy("doc_id").orderBy("k"))
+    return cuts.select("doc_id", (stop - F.char_length("segment")).cast("int").alias("start"), "segment")
+
+
+# Joins
+
+
+@query(f"{SQL_BOTH} {SQL_GROUP.format('LEFT', SQL_OVERLAP)}")
+def lines_group_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.group_counts(line_layer(spark, sf_dir), "text", token_layer(spark, sf_dir), "text")
+
+
+@query(f"{SQL_BOTH} {SQL_GROUP.format('LEFT', SQL_COVER)}")
+def lines_group_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.group_counts(line_layer(spark, sf_dir), "text", token_layer(spark, sf_dir), "text", cover=True)
+
+
+@query(f"{SQL_BOTH} {SQL_GROUP.format('', SQL_OVERLAP)}")
+def lines_group_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.group_counts(line_layer(spark, sf_dir), "text", token_layer(spark, sf_dir), "text", include_empty=False)
+
+
+@query(f"""{SQL_BOTH} SELECT g.doc_id, g.node_id, string_agg(t.node_id, ',' ORDER BY t.start, t.stop, t.node_id) AS members FROM line g JOIN token t ON {SQL_OVERLAP} AND t.class = 'number' GROUP BY g.doc_id, g.node_id""")
+def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbers = token_layer(spark, sf_dir).where("class = 'number'")
+    rows = joins.group_by_span(line_layer(spark, sf_dir), "text", {"numbers": (numbers, "text")}, include_empty=False)
+    return rows.select("doc_id", "node_id", F.array_join(F.transform("numbers", lambda x: x.cast("string")), ",").alias("members"))
+
+
+@query(f"{SQL_TOKEN} SELECT doc_id, node_id, lag(node_id) OVER w AS left_id, lead(node_id) OVER w AS right_id FROM token WHERE class = 'word' WINDOW w AS (PARTITION BY doc_id ORDER BY node_id)")
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.neighbours(token_layer(spark, sf_dir).where("class = 'word'")).select("doc_id", "node_id", "left_id", "right_id")
+
+
+def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = joins.group_counts(line_layer(spark, sf_dir), "text", token_layer(spark, sf_dir), "text", include_empty=False)
+    run = FieldType("nodespan", "token").column(F.struct(F.col("first").alias("left"), F.col("last").alias("right")), "tokens")
+    return counts.select("doc_id", "node_id", run)
+
+
+SQL_RUN = f"runs AS ({SQL_GROUP.format('', SQL_OVERLAP)})"
+
+
+@query(f"{SQL_BOTH}, {SQL_RUN} SELECT r.doc_id, r.node_id, t.node_id AS in_node_id, t.word AS in_word FROM runs r JOIN token t ON t.doc_id = r.doc_id AND t.node_id BETWEEN r.first AND r.last WHERE t.class <> 'other'")
+def nodespan_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = token_layer(spark, sf_dir).where("class <> 'other'")  # leaves gaps
+    return joins.expand_node_span(line_runs(spark, sf_dir), "tokens", words).select("doc_id", "node_id", "in_node_id", "in_word")
+
+
+@query(f"""{SQL_BOTH}, {SQL_RUN} SELECT r.doc_id, r.node_id, a.start, b.stop, substring(d.text, a.start + 1, b.stop - a.start) AS body FROM runs r JOIN token a ON a.doc_id = r.doc_id AND a.node_id = r.first
+JOIN token b ON b.doc_id = r.doc_id AND b.node_id = r.last JOIN documents d ON d.doc_id = r.doc_id""")
+def nodespan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = joins.node_span_extent(line_runs(spark, sf_dir), "tokens", token_layer(spark, sf_dir), "text").join(texts(spark, sf_dir), "doc_id")
+    return rows.select("doc_id", "node_id", "extent.start", "extent.stop", S.covered_text(F.col("text"), F.col("extent")).alias("body"))
+
+
+def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Region, nation and supplier as layers of one document, with references to their parents."""
+    one = F.lit(0).cast("long").alias("doc_id")
+    ref = lambda layer, column, name: FieldType("noderef", layer).column(F.col(column), name)
+    supplier = table(spark, sf_dir, "supplier").select(one, F.col("s_suppkey").cast("int").alias("node_id"), F.col("s_name").alias("name"), ref("nation", "s_nationkey", "nation"), F.col("s_acctbal").alias("balance"))
+    nation = table(spark, sf_dir, "nation").select(one, F.col("n_nationkey").alias("node_id"), F.col("n_name").alias("name"), ref("region", "n_regionkey", "region"))
+    region = table(spark, sf_dir, "region").select(one, F.col("r_regionkey").alias("node_id"), F.col("r_name").alias("name"))
+    return {"region": region, "nation": nation, "supplier": supplier}
+
+
+@query("SELECT CAST(s.s_suppkey AS INT) AS node_id, s.s_name AS name, n.n_name AS nation_name, r.r_name AS region_name FROM supplier s LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey LEFT JOIN region r ON r.r_regionkey = n.n_regionkey")
+def deref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = star(spark, sf_dir)
+    rows = joins.deref(s["supplier"], "nation", s["nation"], "nation_")
+    rows = joins.deref(rows, "nation_region", s["region"], "region_")
+    return rows.select("node_id", "name", "nation_name", "region_name")
+
+
+@query("SELECT CAST(n_nationkey AS INT) AS node_id, n_name AS name FROM nation WHERE n_regionkey = 2")
+def noderef_equals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star(spark, sf_dir)["nation"].where(P.eq("region", 2)).select("node_id", "name")
+
+
+@query("SELECT l_orderkey AS doc_id, string_agg(l_partkey, ',' ORDER BY l_linenumber DESC, l_partkey DESC) AS parts FROM lineitem GROUP BY l_orderkey")
+def deref_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), place.alias("node_id"), "l_partkey")
+    refs = F.sort_array(F.collect_list("node_id"), asc=False)
+    orders = items.groupBy("doc_id").agg(refs.alias("items")).withColumn("node_id", F.lit(0))
+    rows = joins.deref_many(orders, "items", items, "l_partkey")
+    return rows.select("doc_id", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("parts"))
+
+
+SQL_MAPPING = r"""WITH pieces AS (SELECT page_id, unnest(l) AS piece, unnest(range(len(l))) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<[^>]*>|[^<]+|<') AS l FROM pages)),
+placed AS (SELECT page_id, pos, piece, left(piece, 1) <> '<' AS body, sum(length(piece)) OVER w AS b, sum(CASE WHEN left(piece, 1) <> '<' THEN length(piece) ELSE 0 END) OVER w AS d
+    FROM pieces WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
+mapping AS (SELECT page_id, b - length(piece) AS r0, d - length(piece) AS c0, d AS c1 FROM placed WHERE body),
+size AS (SELECT page_id, CAST(max(c1) AS BIGINT) AS n FROM mapping GROUP BY page_id),
+span AS (SELECT page_id, unnest(range(0, n, 37)) AS a, least(unnest(range(0, n, 37)) + 21, n) AS b FROM size)"""
+
+
+@query(f"""{SQL_MAPPING} SELECT s.page_id AS doc_id, CAST(s.a AS INT) AS start, CAST(s.b AS INT) AS stop, CAST(m.r0 + s.a - m.c0 AS INT) AS raw_start, CAST(k.r0 + s.b - 1 - k.c0 + 1 AS INT) AS raw_stop, CAST(NULL AS VARCHAR) AS violation
+FROM span s JOIN mapping m ON m.page_id = s.page_id AND s.a >= m.c0 AND s.a < m.c1 JOIN mapping k ON k.page_id = s.page_id AND s.b - 1 >= k.c0 AND s.b - 1 < k.c1""")
+def span_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans over the text without tags, mapped back to the pages."""
+    pages = table(spark, sf_dir, "pages")
+    pieces = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(F.regexp_extract_all("html", F.lit("<[^>]*>|[^<]+|<"), F.lit(0))).alias("pos", "piece"))
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    size, body = F.char_length("piece"), ~F.col("piece").startswith("<")
+    placed = pieces.select("doc_id", "pos", body.alias("body"), size.alias("size"), F.sum(size).over(order).alias("b"), F.sum(F.when(body, size).otherwise(0)).over(order).alias("d"))
+    spans = lambda stop: S.span(F.col(stop) - F.col("size"), F.col(stop))
+    mapping = placed.where("body").select("doc_id", spans("d").alias("clean"), spans("b").alias("raw"))
+    ends = mapping.groupBy("doc_id").agg(F.max("clean.stop").alias("n"))
+    starts = F.posexplode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(37))).alias("node_id", "a")
+    wanted = ends.where("n > 0").select("doc_id", "n", starts).select("doc_id", "node_id", S.span(F.col("a"), F.least(F.col("a") + 21, F.col("n"))).alias("clean"))
+    rows = joins.translate_spans(wanted, "clean", mapping, "clean", "raw")
+    return rows.select("doc_id", "clean.start", "clean.stop", F.col("translated.start").alias("raw_start"), F.col("translated.stop").alias("raw_stop"), "violation")
+
+
+# Editing
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) - 1 AS INT) AS node_id, s_name AS name FROM supplier")
+def sort_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.renumber(star(spark, sf_dir), "supplier", F.desc("balance"))["supplier"].select("node_id", "name")
+
+
+SQL_KEPT = "kept AS (SELECT n_nationkey, n_name, CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INT) AS id FROM nation WHERE {})"
+
+
+@query(f"WITH {SQL_KEPT.format('n_nationkey % 3 <> 1')} SELECT CAST(s.s_suppkey AS INT) AS node_id, k.id AS nation FROM supplier s LEFT JOIN kept k ON k.n_nationkey = s.s_nationkey")
+def remove_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations are removed and compacted; suppliers' references follow."""
+    s = star(spark, sf_dir)
+    s["nation"] = layers.remove_nodes(s["nation"], s["nation"].where("node_id % 3 = 1"))
+    return layers.renumber(s, "nation")["supplier"].select("node_id", "nation")
+
+
+@query(f"WITH {SQL_KEPT.format('n_nationkey IN (1, 5, 7)')} SELECT id AS node_id, n_name AS name FROM kept")
+def retain_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = star(spark, sf_dir)
+    wanted = s["nation"].where("node_id in (1, 5, 7)")
+    s["nation"] = layers.retain_nodes(s["nation"], wanted.union(wanted))
+    return layers.renumber(s, "nation")["nation"].select("node_id", "name")
+
+
+@query("""SELECT CAST(n_nationkey AS INT) AS node_id, n_name AS name, '' AS remark, CAST(NULL AS INT) AS rank FROM nation UNION ALL
+SELECT CAST((SELECT max(n_nationkey) FROM nation) + 1 + r_regionkey AS INT), r_name, '', CAST(0 AS INT) FROM region""")
+def add_many_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = star(spark, sf_dir)
+    nation = layers.add_field(s["nation"], "remark", with_default("str"), init=True)
+    nation = layers.add_field(nation, "rank", with_default("i32"))
+    new = s["region"].select("doc_id", "name", F.col("node_id").alias("at"))
+    return layers.add_nodes(nation, new, order="at").select("node_id", "name", "remark", "rank")
+
+
+@query("SELECT CAST(r_regionkey AS INT) AS node_id, r_name AS name, false AS is_upper, '' AS pos FROM region")
+def add_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region = layers.add_field(star(spark, sf_dir)["region"], "is_upper", with_default("i1"), init=True)
+    return layers.add_field(region, "pos", with_default("str"), init=True).select("node_id", "name", "is_upper", "pos")
+
+
+@query("SELECT CAST(s_suppkey AS INT) AS node_id, CAST(s_nationkey AS INT) AS nation FROM supplier")
+def remove_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.remove_field(layers.remove_field(star(spark, sf_dir)["supplier"], "name"), "balance").select("node_id", "nation")
+
+
+@query("SELECT CAST(s_suppkey AS INT) AS node_id, s_name AS name FROM supplier")
+def remove_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = layers.remove_layer(star(spark, sf_dir), "nation", cascade=True)["supplier"]
+    return left.drop("doc_id", "balance")
+
+
+@query("""SELECT CAST(n_nationkey AS INT) AS node_id, n_name AS name, CAST(n_regionkey AS INT) AS region, CAST(NULL AS DOUBLE) AS balance FROM nation UNION ALL
+SELECT CAST(s_suppkey AS INT), s_name, CAST(NULL AS INT), s_acctbal FROM supplier""")
+def merge_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = star(spark, sf_dir)
+    return layers.merge_layers(s["nation"], s["supplier"].drop("nation")).select("node_id", "name", "region", "balance")
+
+
+@query("SELECT * FROM (VALUES ('nation', 'name', 'str', ''), ('nation', 'region', 'noderef', 'region'), ('region', 'name', 'str', ''), ('supplier', 'balance', 'f64', ''), ('supplier', 'name', 'str', ''), ('supplier', 'nation', 'noderef', 'nation')) t(layer, field, type, argument)")
+def schema_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(layers.schema_rows(star(spark, sf_dir)), "layer string, field string, type string, argument string")
+
+
+# Validation, over seeded faults
+
+
+@query("SELECT event_id AS doc_id, 'event' AS layer, 0 AS node_id, 'event_type' AS field, 'not_i32' AS rule FROM events WHERE TRY_CAST(event_type AS INT) IS NULL AND event_type IS NOT NULL")
+def validate_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.lit(0).alias("node_id"), "event_type")
+    return validate.cast_violations("event", events, "event_type", FieldType("i32"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS doc_id, 'supplier' AS layer, CAST(s_suppkey AS INT) AS node_id, 'nation' AS field, 'dangling' AS rule FROM supplier WHERE s_nationkey % 5 = 2")
+def validate_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = star(spark, sf_dir)
+    s["nation"] = s["nation"].where("node_id % 5 <> 2")
+    return validate.dangling_references("supplier", s["supplier"], s)
+
+
+@query(f"""{SQL_BOTH}, {SQL_RUN} SELECT doc_id, 'line' AS layer, node_id, 'tokens' AS field, 'nodespan_order' AS rule FROM runs WHERE node_id % 3 = 0 AND first < last""")
+def validate_nodespan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    swapped = F.expr("if(node_id % 3 = 0, named_struct('left', tokens.right, 'right', tokens.left), tokens)")
+    runs = line_runs(spark, sf_dir)
+    return validate.value_violations("line", runs.withColumn("tokens", swapped).withMetadata("tokens", runs.schema["tokens"].metadata))
+
+
+@query(f"""{SQL_TOKEN} SELECT t.doc_id, 'token' AS layer, t.node_id, 'text' AS field, CASE WHEN d.doc_id % 10 = 0 THEN 'text_missing' ELSE 'beyond_text' END AS rule
+FROM token t JOIN documents d ON d.doc_id = t.doc_id WHERE d.doc_id % 10 = 0 OR (d.doc_id % 10 = 1 AND t.stop > length(d.text) // 2)""")
+def validate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some documents lose their text, others half of it."""
+    t = texts(spark, sf_dir).where("doc_id % 10 <> 0").select("doc_id", F.lit("main").alias("context"), F.expr("if(doc_id % 10 = 1, left(text, length(text) div 2), text)").alias("text"))
+    return validate.text_violations("token", token_layer(spark, sf_dir), t)
+
+
+# Sequences
+
+
+def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of each user's events: start in minutes, length from the value."""
+    events = table(spark, sf_dir, "events")
+    start = F.floor(F.unix_timestamp("ts") / 60)
+    return events.select("user_id", "event_id", start.alias("start"), (start + F.floor(F.col("value") * 10)).alias("stop"))
+
+
+@query()
+def dominant_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.dominant_right(visits(spark, sf_dir).withColumnRenamed("event_id", "ordinal"), "user_id")
+
+
+@query(f"""{SQL_BOTH}, {SQL_RUN} SELECT doc_id, node_id, first, last FROM runs""")
+def dominant_right_nodespan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token runs of lines do not overlap, so all of them stay."""
+    return sequence.dominant_node_spans(line_runs(spark, sf_dir), "tokens").select("doc_id", "node_id", F.col("tokens.left").alias("first"), F.col("tokens.right").alias("last"))
+
+
+@query(f"{SQL_TOKEN} SELECT doc_id, node_id, start, stop FROM token")
+def align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's own tokens, found again in its text."""
+    words = token_layer(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "word"))).alias("t"))
+    rows = texts(spark, sf_dir).join(words.select("doc_id", F.transform("t", lambda x: x["word"]).alias("tokens")), "doc_id")
+    return sequence.align_tokens(rows, look_ahead=1)
+
+
+# Graphs
+
+
+def tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges and roots of one tree for each region: the region (0), its nations (100 and up), their suppliers (1000 and up)."""
+    s = star(spark, sf_dir)
+    nation = s["nation"].select(F.col("region").cast("long").alias("doc_id"), F.lit(0).alias("src"), F.col("node_id").alias("pos"), (F.col("node_id") + 100).alias("dst"))
+    own = s["nation"].select(F.col("region").cast("long").alias("doc_id"), F.col("node_id").alias("nation"))
+    supplier = s["supplier"].select("nation", F.col("node_id").alias("pos")).join(own, "nation").select("doc_id", (F.col("nation") + 100).alias("src"), "pos", (F.col("pos") + 1000).alias("dst"))
+    roots = s["region"].select(F.col("node_id").cast("long").alias("doc_id"), F.lit(0).alias("node_id"))
+    return nation.unionByName(supplier).withColumn("ord", F.lit(0)), roots
+
+
+SQL_TREE = """WITH RECURSIVE edge AS (SELECT CAST(n_regionkey AS BIGINT) AS doc_id, 0 AS src, CAST(n_nationkey + 100 AS INT) AS dst FROM nation UNION ALL
+SELECT CAST(n_regionkey AS BIGINT), CAST(n_nationkey + 100 AS INT), CAST(s_suppkey + 1000 AS INT) FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+walk AS (SELECT CAST(r_regionkey AS BIGINT) AS doc_id, 0 AS node_id, 0 AS depth, [0] AS path FROM region UNION ALL
+SELECT w.doc_id, e.dst, w.depth + 1, list_append(w.path, e.dst) FROM walk w JOIN edge e ON e.doc_id = w.doc_id AND e.src = w.node_id)"""
+
+
+@query(f"{SQL_TREE} SELECT doc_id, node_id, depth FROM walk")
+def bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.bfs(*tree(spark, sf_dir))
+
+
+@query(f"{SQL_TREE} SELECT doc_id, node_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS INT) AS place FROM walk")
+def dfs_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.dfs(*tree(spark, sf_dir)).select("doc_id", "node_id", "place")
+
+
+@query(f"{SQL_TREE} SELECT doc_id, node_id FROM walk w WHERE NOT EXISTS (SELECT 1 FROM edge e WHERE e.doc_id = w.doc_id AND e.src = w.node_id)")
+def dfs_leaves_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.dfs(*tree(spark, sf_dir)).where("leaf").select("doc_id", "node_id")
+
+
+@query(f"{SQL_TREE} SELECT doc_id, node_id FROM walk w WHERE NOT EXISTS (SELECT 1 FROM edge e WHERE e.doc_id = w.doc_id AND e.src = w.node_id)")
+def tree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edge, roots = tree(spark, sf_dir)
+    nodes = roots.unionByName(edge.select("doc_id", F.col("dst").alias("node_id")))
+    return graph.tree_leaves(edge, nodes)
+
+
+@query("SELECT conv_id AS doc_id, CAST(turn AS INT) AS src, CAST(turn - 1 AS INT) AS dst FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1)")
+def children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from each turn of a conversation to the one before it."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("node_id"))
+    before = F.lag("node_id").over(Window.partitionBy("doc_id").orderBy("node_id"))
+    turns = turns.withColumn("prev", F.when(before == F.col("node_id") - 1, before)).withMetadata("prev", FieldType("noderef", "turn").metadata())
+    return graph.edges(turns, "prev").select("doc_id", "src", "dst")
+
+
+@query(f"""{SQL_TREE} SELECT doc_id, dst AS node_id, 'in' AS side, string_agg(src, ',' ORDER BY src) AS others FROM edge GROUP BY doc_id, dst UNION ALL
+SELECT doc_id, src, 'out', string_agg(dst, ',' ORDER BY dst) FROM edge GROUP BY doc_id, src""")
+def edges_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edge, _ = tree(spark, sf_dir)
+    sides = [graph.edge_index(edge, s).select("doc_id", "node_id", F.lit(s).alias("side"), F.array_join(F.transform("others", lambda x: x.cast("string")), ",").alias("others")) for s in ("in", "out")]
+    return sides[0].unionByName(sides[1])
+
+
+# Indexes
+
+
+@query("""SELECT property, value, count(*) AS n, string_agg(doc_id, ',' ORDER BY doc_id) AS doc_ids FROM (SELECT 'lang' AS property, lang AS value, doc_id FROM documents UNION ALL
+SELECT 'source', source, doc_id FROM documents) WHERE value IS NOT NULL GROUP BY property, value""")
+def prop_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = index.property_index(table(spark, sf_dir, "documents"), "lang", "source")
+    return rows.select("property", "value", "n", F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",").alias("doc_ids"))
+
+
+@query("SELECT DISTINCT doc_id FROM documents WHERE lang = 'en' AND source = 'src3'")
+def prop_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.search(index.property_postings(table(spark, sf_dir, "documents"), "lang", "source"), lang="en", source="src3")
+
+
+@query("SELECT DISTINCT doc_id, 0 AS part FROM documents WHERE lang = 'en' AND doc_id % 2 = 0 UNION ALL SELECT DISTINCT doc_id, 1 FROM documents WHERE lang = 'en' AND doc_id % 2 = 1")
+def prop_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return index.search_many([index.property_postings(docs.where(f"doc_id % 2 = {k}"), "lang") for k in (0, 1)], lang="en")
+
+
+# Codecs and sources: what comes back is the token layer
+
+
+def _encoded(spark: SparkSession, sf_dir: str, codec: str) -> DataFrame:
+    docs = texts(spark, sf_dir)
+    layer = derived.tokens(docs).drop("class")
+    return documents.rows_to_documents(docs.select("doc_id", F.lit("main").alias("context"), "text"), {"token": layer}, codec=codec)
+
+
+TOKEN_FIELDS = {"text": FieldType("span", "main"), "word": FieldType("str")}
+
+
+def _decoded(rows: DataFrame, codec: str) -> DataFrame:
+    layer = documents.layer_table(documents.documents_to_rows(rows, codec=codec), "token", TOKEN_FIELDS)
+    return layer.select("doc_id", "node_id", "text.start", "text.stop", "word")
+
+
+SQL_BACK = f"{SQL_TOKEN} SELECT doc_id, node_id, start, stop, word FROM token"
+
+
+@query(SQL_BACK)
+def binary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decoded(_encoded(spark, sf_dir, "binary"), "binary")
+
+
+@query(SQL_BACK)
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decoded(_encoded(spark, sf_dir, "json"), "json")
+
+
+@query("SELECT doc_id, 'main' AS context, text FROM documents")
+def partial_decode_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.documents_to_texts(_encoded(spark, sf_dir, "binary"))
+
+
+@query(f"{SQL_TOKEN} SELECT d.doc_id, count(t.node_id) AS n FROM documents d LEFT JOIN token t ON t.doc_id = d.doc_id GROUP BY d.doc_id")
+def xml_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes in each document's XML."""
+    rows = _encoded(spark, sf_dir, "xml")
+    return rows.select("doc_id", F.regexp_count("data", F.lit("<node id=")).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, 'main' AS context, text FROM documents")
+def blocked_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written to blocked files in the shared folder and read back; the id travels as a property."""
+    blocked.register(spark)
+    folder = f"{shared_dir(spark)}/blocked-{uuid.uuid4().hex}"
+    docs = texts(spark, sf_dir)
+    props = docs.select("doc_id", F.create_map(F.lit("id"), F.col("doc_id").cast("string")).alias("props"))
+    rows = documents.rows_to_documents(docs.select("doc_id", F.lit("main").alias("context"), "text"), {}, props)
+    rows.select("data").write.format("blocked-documents").option("path", folder.removeprefix("file://")).option("docsPerBlock", "32").mode("append").save()
+    return documents.documents_to_texts(blocked.read_blocked(spark, folder), id_prop="id")
