@@ -214,7 +214,7 @@ class BlockRange(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.path, self.per_task = options["path"], int(options.get("blocksPerTask", BLOCKS_PER_TASK))
+        self.path, self.per_task = options["path"], int(options.get("blockspertask", BLOCKS_PER_TASK))
         self.framed = options.get("framing") == "boundary"
 
     def _load(self, file: str) -> bytes:
@@ -267,7 +267,7 @@ class _Writer(DataSourceWriter):
         temporary = os.path.join(self.path, f".{name}.tmp")
         boundary = self.options.get("boundary")
         with open(temporary, "xb") as f:
-            w = BlockWriter(f, int(self.options.get("docsPerBlock", PER_BLOCK)), self.options.get("codec", "zip"), int(boundary) if boundary else None)
+            w = BlockWriter(f, int(self.options.get("docsperblock", PER_BLOCK)), self.options.get("codec", "zip"), int(boundary) if boundary else None)
             for row in rows:
                 w.write(row[0])
             w.flush()
@@ -301,11 +301,14 @@ class BlockedDocuments(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
+    def _named(self) -> dict[str, str]:
+        return {k.lower(): v for k, v in self.options.items()}
+
     def reader(self, schema) -> _Reader:
-        return _Reader(dict(self.options))
+        return _Reader(self._named())
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(dict(self.options), overwrite)
+        return _Writer(self._named(), overwrite)
 
 
 def register(spark: SparkSession) -> None:
