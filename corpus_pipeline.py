@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 from scholion.llm import bpe, language_id, mixing, ngram_join, pii
 from scholion.llm.queries import vocabulary
-from scholion.session import materialize
+from scholion.session import hinted, materialize
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language with a score of one half or more; the rest go."""
     model = language_id.fit_language_model(docs, vocabulary("piece_bpe_32k.model"))
-    judged = language_id.predict_language(docs, model, keep=[c for c in docs.columns if c != "doc_id"])
-    return judged.where("lang_pred <> 'und' and score >= 0.5").select(*docs.columns)
+    judged = language_id.predict_language(docs, model, keep=[c for c in docs.columns if c != "doc_id"], names=("judged_lang_", "judged_score_"))
+    return judged.where("judged_lang_ <> 'und' and judged_score_ >= 0.5").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar 4-word shingle sets stays: the one with the smallest id."""
     groups = ngram_join.ngram_jaccard_components(docs)
     gone = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(hinted(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

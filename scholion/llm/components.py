@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholion.session import materialize
+from scholion.session import discard, materialize
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
                 new = joined.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
             else:
                 new = joined.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", "low"))
-            now = materialize(new.where("a <> b").distinct(), "edges")
+            old, now = now, materialize(new.where("a <> b").distinct(), "edges")
+            discard(old)
         if (new_state := state(now)) == was:
             break
         was = new_state

@@ -183,8 +183,8 @@ def fit_language_model(docs: DataFrame, vocabulary: str, per_language: int = 120
     return fit_pieces(read_pieces(vocabulary), counts)
 
 
-def predict_language(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, lang_pred, score) of each whole text, and the columns in ``keep``.
+def predict_language(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """(doc_id, lang_pred, score) of each whole text, and the columns in ``keep``; ``names`` are those of the last two.
 
     score is the posterior of the predicted language, all languages being equally likely before. Null texts, texts
     without a letter, and all texts if no language was learned, are ``und`` with score 0. Only the text is read.
@@ -224,9 +224,9 @@ def predict_language(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
                     lang.append(own.languages[best] if u else "und")
                     score.append(float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum()) if u else 0.0)
                 rest = [c.slice(lo, 512) for c in batch.columns[1:]]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*others, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*others, *names])
 
     others = ["doc_id", *(keep or [])]
     rows = docs.select(F.col(text_col), F.col(id_col).alias("doc_id"), *(keep or []))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]) + ", lang_pred string, score double"
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]) + f", {names[0]} string, {names[1]} double"
     return rows.mapInArrow(run, ddl)

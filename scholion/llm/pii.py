@@ -214,9 +214,9 @@ def sanitise_text(text: str | None, spans: str | None) -> str | None:
 
 def sanitised_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """The documents with personal data and disclosing terms replaced; their other columns are unchanged."""
-    spans = find_personal_data(docs, id_col, text_col, **options).where("spans <> ''").select(F.col("x").alias("x_"), F.col("y").alias("y_"), F.col("spans").alias("spans_")).distinct()
-    keyed = docs.withColumn("kx_", F.xxhash64(id_col, text_col)).withColumn("ky_", F.xxhash64(F.lit(1), id_col, text_col))
-    rows = keyed.join(hinted(materialize(spans, "spans")), F.expr("kx_ = x_ and ky_ = y_"), "left")
+    spans = find_personal_data(docs, id_col, text_col, **options).where("spans <> ''").select(F.col("x").alias("pii_x_"), F.col("y").alias("pii_y_"), F.col("spans").alias("pii_spans_")).distinct()
+    keyed = docs.withColumn("pii_own_x_", F.xxhash64(id_col, text_col)).withColumn("pii_own_y_", F.xxhash64(F.lit(1), id_col, text_col))
+    rows = keyed.join(hinted(materialize(spans, "spans")), F.expr("pii_own_x_ = pii_x_ and pii_own_y_ = pii_y_"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,7 +226,7 @@ def sanitised_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1])
 
-    return rows.select(*docs.columns, "spans_").mapInArrow(run, docs.schema)
+    return rows.select(*docs.columns, "pii_spans_").mapInArrow(run, docs.schema)
 
 
 def digest(base: str) -> str:

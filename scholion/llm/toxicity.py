@@ -72,7 +72,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, grade: Column, sample: int
     total = max(1, labels.count())
     chosen = labels.select(F.col(id_col).alias("id_"), grade.cast("int").alias("grade"), rank.alias("rank")).where("id_ is not null and grade >= 0")
     chosen = chosen.where(F.col("rank") < F.lit(float(1 << 30) * min(1.0, sample / total))).orderBy("rank", "id_").limit(2 * sample)
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("id_")).select("id_", "grade", F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("own_"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("own_") == F.col("id_")).select("id_", "grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
