@@ -287,7 +287,7 @@ def dedup_substrings(docs: DataFrame, length: int = 100, k: int = 32, id_col: st
         raise ValueError("16 <= k < length <= k + 96 is needed")
     d = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("d")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    every = docs.select(d, F.pmod(F.xxhash64(text), F.lit(1 << 18)).alias("tag"), text.alias("text"))
+    every = docs.select(d, F.xxhash64(text).bitwiseAND((1 << 18) - 1).alias("tag"), text.alias("text"))
     facts = materialize(every.select("d", "tag", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"), F.octet_length("text").cast("long").alias("size")), "texts").where(f"size >= {length}")
     first = materialize(facts.groupBy("x", "y").agg(F.min("d").alias("first"), F.count("*").alias("n")), "firsts")
     copies = facts.join(hinted(first.where("n > 1")), ["x", "y"]).where("d <> first").select("d", "tag", "size").distinct()
