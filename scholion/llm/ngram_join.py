@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 
 from scholion.llm.bytesets import mix, shingle_sets
 from scholion.llm.components import connected_components
-from scholion.session import hinted, materialize
+from scholion.session import discard, hinted, materialize
 
 #: Most n-grams that are put last in the global order; they are broadcast (16 MB).
 FREQUENT = 2_000_000
 #: Most class ids that are handed to the Python workers as one array (16 MB); beyond it a join filters.
 SENT = 2_000_000
-#: An n-gram is never called frequent below this number of classes.
-LEAST = 64
+#: An n-gram is never called frequent up to this number of classes.
+LEAST = 16
+#: Times that the order is refined: later rounds find ever fewer frequent n-grams.
+ROUNDS = 2
+#: Longs of a class's parity sketch.
+SKETCH = 8
 
 
 @dataclass
@@ -42,26 +46,32 @@ def _ordered(values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, n, node, check, prefix): the set's size, its 128-bit fingerprint and its prefix in the global order."""
+    """(doc_id, n, node, check, sketch, prefix): the set's size, its 128-bit fingerprint, the parities of its hashes by
+    512 places, and its prefix in the global order."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
         for batch in batches:
             for lo, values, bounds in shingle_sets(batch.column(1), size):
                 n = np.diff(bounds)
                 u = values.view(np.uint64)
+                flips = np.zeros((len(n), SKETCH), np.uint64)
+                np.bitwise_xor.at(flips, (np.repeat(np.arange(len(n)), n), (u >> np.uint64(6)) % np.uint64(SKETCH)), np.uint64(1) << (u & np.uint64(63)))
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * SKETCH, pa.int32()), pa.array(flips.ravel().view(np.int64)))
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (mix(u), mix(~u))]
                 node, check = (mix(s[bounds[1:]] - s[bounds[:-1]] + n.astype(np.uint64)).view(np.int64) for s in sums)
                 empty = n == 0
                 parts, lengths = [], []
                 for a, b, m in zip(bounds[:-1].tolist(), bounds[1:].tolist(), n.tolist(), strict=True):
                     p = m - (percent * m + 99) // 100 + 1 if m else 0
-                    parts.append(_ordered(values[a:b], frequent)[:p])
+                    parts.append(_ordered(values[a:b], often)[:p])
                     lengths.append(len(parts[-1]))
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate(parts), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(n)), pa.array(n, pa.int64()), pa.array(node, mask=empty), pa.array(check, mask=empty), prefix], ["doc_id", "n", "node", "check", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(n)), pa.array(n, pa.int64()), pa.array(node, mask=empty), pa.array(check, mask=empty), sketch, prefix], ["doc_id", "n", "node", "check", "sketch", "prefix"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, node long, check long, prefix array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, node long, check long, sketch array<long>, prefix array<long>")
 
 
 def _segments(docs: DataFrame, text_col: str, size: int, fragments: int, wanted: DataFrame) -> DataFrame:
@@ -94,17 +104,31 @@ def _segments(docs: DataFrame, text_col: str, size: int, fragments: int, wanted:
     return found.groupBy("node", "f").agg(F.first("segment").alias("segment"))
 
 
-def _verified(docs: DataFrame, text_col: str, size: int, percent: int, fragments: int, pairs: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sketches allow the threshold: the parities of two sets differ in no more places than the sets do in n-grams."""
+    left = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("left"))
+    right = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("right"))
+    differ = F.aggregate(F.zip_with("left", "right", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # at least this many n-grams are in one set only, so at most (n_a + n_b - differ) / 2 are in both
+    rows = pairs.join(left, "a").join(right, "b").withColumn("differ", differ)
+    return rows.where(F.expr(f"100 * (n_a + n_b - differ) >= {percent} * (n_a + n_b + differ)")).select("a", "b", "n_a", "n_b")
+
+
+def _verified(docs: DataFrame, text_col: str, size: int, percent: int, fragments: int, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b, n_a, n_b) whose partial overlaps, counted per fragment and summed, reach the threshold."""
+    pairs = materialize(_possible(pairs, sketches, percent), "possible")
     nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "candidates")
     segments = materialize(_segments(docs, text_col, size, fragments, nodes), "segments")
     left = segments.select(F.col("node").alias("a"), "f", F.col("segment").alias("left"))
     right = segments.select(F.col("node").alias("b"), "f", F.col("segment").alias("right"))
     partial = pairs.join(left, "a").join(right, ["b", "f"])
-    return (
+    links = (
         partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum(F.size(F.array_intersect("left", "right"))).alias("overlap"))
         .where(F.expr(f"100 * overlap >= {percent} * (n_a + n_b - overlap)")).select("a", "b", "overlap")
     )
+    links = materialize(links, "links")
+    discard(nodes, segments, pairs)
+    return links
 
 
 def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, fragments: int = 8) -> JaccardGroups:
@@ -113,30 +137,33 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     1. Documents with the same set form one class, named by a 64-bit fingerprint of the set (a second one guards the
        grouping), so copies are never paired with one another.
     2. The n-grams have one global order: by hash, frequent ones last. Two similar sets share an n-gram of their
-       prefixes in any such order. A count over all prefixes finds frequent n-grams; the order is redone until it finds
-       no new ones. At most ``FREQUENT`` n-grams can reach the limit, which grows with the sum of all prefixes.
+       prefixes in any such order. A count over all prefixes finds the frequent n-grams, and the prefixes are taken
+       anew. At most ``FREQUENT`` n-grams can reach the limit, which grows with the sum of all prefixes.
     3. Classes that share a prefix n-gram are first paired with two hub classes of that n-gram only. What remains
        between different components after that is paired in full, within the length bound; n-grams all of whose
        classes are in one component are done. So a group of near copies costs a linear number of pairs.
-    4. The order is cut into ``fragments``; each pair's overlap is counted per fragment on the partial sets and summed.
+    4. Pairs that their sketches rule out go. For the rest the n-gram order is cut into ``fragments``; a pair's overlap is
+       counted per fragment on the partial sets and summed.
 
     Letters A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; a text with fewer than ``size`` words is one n-gram;
     texts that are null or without words have an empty set, which links with nothing. Repeated rows and repeated or
     null ids are kept: each row is a member of its set's class. Extra columns are ignored.
     """
-    frequent, found = np.zeros(0, np.int64), None
-    for _ in range(4):
+    frequent = np.zeros(0, np.int64)
+    for k in range(ROUNDS):
         sets = materialize(_sets(docs, id_col, text_col, size, percent, frequent), "sets")
-        classes = sets.where("n > 0").groupBy("node", "check", "n").agg(F.first("prefix").alias("prefix"))
+        classes = sets.where("n > 0").groupBy("node", "check", "n").agg(F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+        classes = materialize(classes, "classes")
         tokens = classes.select("node", "n", F.explode("prefix").alias("h"))
         found = materialize(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "shared")
-        total, rows = sets.agg(F.sum(F.size("prefix")), F.count("*")).first()
-        limit = max(LEAST, (total or 0) // FREQUENT + 1, rows // 4000)
-        known = set(frequent.tolist())
-        new = [r.h for r in found.where(F.col("df") > limit).select("h").collect() if r.h not in known]
+        total = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
+        limit = max(LEAST, total // FREQUENT + 1)
+        new = [r.h for r in found.where(F.col("df") > limit).select("h").collect()] if k < ROUNDS - 1 else []
         if not new:
             break
-        frequent = np.sort(np.append(frequent, np.array(new, np.int64)))[:FREQUENT]
+        frequent = np.sort(np.array(new, np.int64))
+        discard(sets, classes, found)
+    sketches = classes.groupBy("node").agg(F.first("sketch").alias("sketch"))
     members = sets.select("doc_id", F.col("n").alias("n_shingles"), "node")
     shared = materialize(tokens.join(hinted(found), "h"), "tokens")
 
@@ -149,21 +176,26 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     pairs = shared.join(hubs, "h").where("node <> hub").select("node", "n", "hub").distinct().join(sizes, "hub")
     ab = F.expr("if(node < hub, named_struct('a', node, 'b', hub, 'n_a', n, 'n_b', n_hub), named_struct('a', hub, 'b', node, 'n_a', n_hub, 'n_b', n)) as p")
     first = materialize(pairs.select(ab).select("p.*").where(fits).distinct(), "pairs")
-    links = materialize(_verified(docs, text_col, size, percent, fragments, first), "links")
+    links = _verified(docs, text_col, size, percent, fragments, first, sketches)
     components = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     owned = shared.join(components, "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("component"))
     owned = materialize(owned, "owned")
     mixed = owned.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("h")
-    open_ = materialize(owned.join(mixed, "h"), "open")
-    left = open_.select("h", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    right = open_.select("h", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    rest = left.join(right, "h").where("a < b and c_a <> c_b").where(fits).select("a", "b", "n_a", "n_b").distinct()
+    places = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]
+    open_ = owned.join(mixed, "h").join(sketches.select("node", *places), "node")
+    open_ = materialize(open_, "open")
+    side = lambda x: [F.col("h"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(SKETCH))]
+    differ = " + ".join(f"bit_count(a{k} ^ b{k})" for k in range(SKETCH))
+    # the sketches are compared where the pairs meet, so that pairs they rule out are never rows
+    alike = F.expr(f"100 * (n_a + n_b - ({differ})) >= {percent} * (n_a + n_b + ({differ}))")
+    rest = open_.select(side("a")).join(open_.select(side("b")), "h").where(F.expr("a < b and c_a <> c_b") & fits & alike).select("a", "b", "n_a", "n_b").distinct()
     rest = materialize(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    more = materialize(_verified(docs, text_col, size, percent, fragments, rest), "links")
+    more = _verified(docs, text_col, size, percent, fragments, rest, sketches)
     links = links.union(more)
     if more.limit(1).count():
         components = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    discard(shared, owned, open_, first, rest, classes, found)
     return JaccardGroups(members, links, components)
 
 
