@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -16,8 +17,12 @@ from pyspark.sql import functions as F
 
 #: Splits text before the merges (fixed by the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Nodes of the trie, and entries of the word cache, after which a worker starts anew.
-NODES = 1_500_000
+#: White space as the pattern's ``\\s`` has it.
+SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: No match of the pattern goes on from a character that is not white space to one that is, so such parts can be encoded one by one.
+PARTS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
+#: Nodes of the trie, and entries of the cache of parts, after which a worker starts either anew.
+NODES = 1_000_000
 WORDS = 400_000
 #: Bytes of a word that may enter the trie; longer ones are encoded on a trie of their own.
 LONGEST = 48
@@ -54,13 +59,13 @@ class ByteBpe:
         self.split = regex.compile(PATTERN).findall
         self.around = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.fits: dict[tuple[int, int], bool] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
         self.clear()
 
     def clear(self) -> None:
-        """Empty the trie (child of a node and a byte; last token of each node's encoding) and the cache of words."""
+        """Empty the trie: the child of a node and a byte; the last token of each node's encoding."""
         self.child: dict[int, int] = {}
         self.last = [-1]
-        self.cache: dict[str, tuple[int, ...]] = {}
 
     def merges_apart(self, a: int, b: int) -> bool:
         """Whether the encoding of the two tokens' bytes is just (a, b): no merge across the border comes first.
@@ -89,7 +94,9 @@ class ByteBpe:
         It is the one suffix that is a token and can follow the last token of what stands before it.
         """
         ids, fits = self.ids, self.fits
-        for start in range(max(0, depth - self.longest), depth):
+        # only one suffix fits, so any order finds it: first the last token made longer, then shorter suffixes, then longer ones
+        grown = depth - 1 - self.sizes[lasts[depth - 1]] if depth > 1 else 0
+        for start in (grown, *range(depth - 1, grown, -1), *range(grown - 1, max(0, depth - self.longest) - 1, -1)):
             token = ids.get(word[start:depth])
             if token is None:
                 continue
@@ -139,41 +146,49 @@ class ByteBpe:
             d -= sizes[lasts[d]]
         return tuple(out[::-1])
 
-    def learn(self, words: set[str]) -> None:
-        """Put the encodings of words into the cache; long words do not enter the trie."""
-        raw = sorted((w.encode(), w) for w in words)
+    def learn(self, parts: set[str]) -> None:
+        """Put the encodings of parts into the cache: those of their words, one after another.
+
+        Long words do not enter the trie.
+        """
+        if len(self.last) > NODES:
+            self.clear()
+        words = {p: self.split(p) for p in parts}
+        raw = sorted({(w.encode(), w) for ws in words.values() for w in ws})
+        known: dict[str, tuple[int, ...]] = {}
         short = [x for x in raw if len(x[0]) <= LONGEST]
         for (_, w), ids in zip(short, self.insert([b for b, _ in short]), strict=True):
-            self.cache[w] = ids
+            known[w] = ids
         for b, w in raw:
             if len(b) > LONGEST:
                 lasts = [-1]
                 for d in range(1, len(b) + 1):
                     lasts.append(self._last_token(b, lasts, d))
-                self.cache[w] = self._read(lasts)
+                known[w] = self._read(lasts)
+        for p, ws in words.items():
+            self.cache[p] = known[ws[0]] if len(ws) == 1 else tuple(i for w in ws for i in known[w])
 
-    def pieces(self, text: str) -> list[str]:
-        """The text's words for the merges and its special tokens."""
+    def parts_of(self, text: str) -> list[str]:
+        """The text cut before white space, and around special tokens."""
         if self.around is None or not any(s in text for s in self.special):
-            return self.split(text)
+            return PARTS(text)
         out: list[str] = []
         for part in self.around(text):
-            out += [part] if part in self.special else self.split(part)
+            out += [part] if part in self.special else PARTS(part)
         return out
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text."""
-        for text in texts:
-            words = self.pieces(text)
-            new = set(words).difference(self.cache)
-            if new:
-                if len(self.cache) > WORDS or len(self.last) > NODES:
-                    self.clear()
-                    new = set(words)
-                for s in new & self.special.keys():
-                    self.cache[s] = (self.special[s],)
-                self.learn(new - self.special.keys())
-            yield list(chain.from_iterable(map(self.cache.__getitem__, words)))
+        split = list(map(self.parts_of, texts))
+        every = set().union(*split)
+        if len(self.cache) + len(every) > WORDS:
+            self.cache.clear()
+        new = every.difference(self.cache)
+        for s in new & self.special.keys():
+            self.cache[s] = (self.special[s],)
+        self.learn(new - self.special.keys())
+        for parts in split:
+            yield list(chain.from_iterable(map(self.cache.__getitem__, parts)))
 
     def encode(self, text: str) -> list[int]:
         return next(self.encode_batch([text]))
