@@ -77,7 +77,7 @@ def text_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Words are ``[^\\x20\\x09-\\x0D]+``, lengths count code points; a null text has no words. Extra columns are dropped.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.ltrim(F.lit(" \t\n\x0b\x0c\r"), x) != "")
+    lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.ltrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
     per_line = _with(lines, lambda a: F.struct(F.size(a).cast("long").alias("n_lines"), (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines")))
     symbols = F.coalesce(F.regexp_count("text", F.lit("[#*$%&|<>]")), F.lit(0)).cast("long")
     words = F.array_remove(F.split(F.coalesce(F.col("text"), F.lit("")), SPACES), "")
