@@ -1,10 +1,12 @@
 """Cases that an operator must judge on the whole text: blank lines, wrapped notices, far terms, unspaced scripts."""
 
+import textwrap
+
 import pytest
 
 pytest.importorskip("scholion.llm")
 
-from scholion.llm import quality_rules
+from scholion.llm import licenses, quality_rules
 
 
 def test_blank_lines_do_not_count(spark):
@@ -14,3 +16,28 @@ def test_blank_lines_do_not_count(spark):
     df = spark.createDataFrame([(k, t, f"host{k}") for k, t in enumerate(texts)], "doc_id long, text string, source string")
     report = quality_rules.host_quality(df).documents.collect()
     assert sorted((r.doc_id, r.n_lines, r.n_dup_lines, r.fails_duplicate_lines) for r in report) == [(0, 6, 0, False), (1, 6, 0, False), (2, 7, 1, False), (3, 0, 0, False), (4, 2, 0, False)]
+
+
+NOTICES = {
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+}
+
+
+def test_wrapped_notices(spark):
+    """Notices wrapped over lines, also behind comment marks, and lines that name two licences."""
+    texts, want = ["Some prose of the day.\n\nAnd more of it.", "x\nLicensed under the MIT License and the Apache License, Version 2.0.", "Released under the MIT License. Licensed under the Apache License, Version 2.0."], ["", "Apache-2.0,MIT", "Apache-2.0,MIT"]
+    for family, notice in NOTICES.items():
+        for width in (40, 72, 100):
+            for mark in ("", "# ", " * "):
+                texts.append("Copyright 2020 A. Writer\n\n" + textwrap.fill(notice, width, initial_indent=mark, subsequent_indent=mark) + "\n\nfurther text")
+                want.append(family)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs, licenses.fit_licenses(docs.where("doc_id = 0"))).collect()}
+    assert [got[k].licenses for k in range(len(texts))] == want
+    for k in range(3, len(texts)):
+        (span,) = got[k].spans.split(",")
+        _, a, b = span.split(":")
+        assert got[k].n_notices == 1 and texts[k][: int(a)].endswith("\n") and texts[k][int(b)] == "\n"
+    assert got[1].spans == f"Apache-2.0:2:{len(texts[1])},MIT:2:{len(texts[1])}"
