@@ -23,8 +23,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = "\"'()[]{}<>.,;:!?*#$%&|"
-#: Words on each side of an entity that count as occurring with it, and the characters looked through for them.
-WINDOW, REACH = 8, 160
+#: Pairs that a worker counts before it hands them on.
+PAIRS = 200_000
 
 
 def _luhn(digits: str) -> bool:
@@ -75,30 +75,39 @@ def _term(word: str) -> str:
     return term if len(term) > 1 and len(term) <= 64 else ""
 
 
-def _near(text: str, spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str, int]]:
-    """(index of the span, start, term, stop) of the terms near each span, outside all spans in ``taken``."""
-    for k, (start, stop) in enumerate(spans):
-        lo = max(0, start - REACH)
-        hi = min(len(text), stop + REACH)
-        left = [m for m in WORD.finditer(text, lo, start) if m.start() > lo or lo == 0][-WINDOW:]
-        right = [m for m in WORD.finditer(text, stop, hi) if m.end() < hi or hi == len(text)][:WINDOW]
-        for m in left + right:
-            term = _term(m[0])
-            if term:
-                a = m.start() + (len(m[0]) - len(m[0].lstrip(EDGES)))
-                b = a + len(term)
-                if b <= m.end() and not any(x < b and a < y for x, y in taken if x < m.end() and m.start() < y):
-                    yield k, a, term, b
+def _terms(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, stop, term) of the terms of a whole text, outside its base spans."""
+    taken = sorted(x for spans in base_spans(text).values() for x in spans)
+    k, reach = 0, 0  # reach: where the spans that start before the word's end stop
+    for m in WORD.finditer(text):
+        term = _term(m[0])
+        if term:
+            a = m.start() + (len(m[0]) - len(m[0].lstrip(EDGES)))
+            b = a + len(m[0].strip(EDGES))
+            while k < len(taken) and taken[k][0] < b:
+                reach = max(reach, taken[k][1])
+                k += 1
+            if reach <= a:
+                yield a, b, term
+
+
+def _entities(text: str) -> list[int]:
+    return sorted({_entity(kind, text[a:b]) for kind, spans in base_spans(text).items() for a, b in spans})
+
+
+def _parts(table: DataFrame, key: str) -> Iterator[list]:
+    """The rows of a table in parts of about BROADCAST_ROWS, so that each can be sent to the workers."""
+    n = -(-table.count() // BROADCAST_ROWS)
+    for k in range(n):
+        yield table.where(F.pmod(F.xxhash64(key), F.lit(n)) == k).collect()
 
 
 def find_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, x, y, n_email, n_ip, n_card, n_phone, base, entities, near) of each whole text.
+    """(doc_id, x, y, n_email, n_ip, n_card, n_phone, base, entities) of each whole text.
 
     x, y: 128-bit key of the row's id and text. base: ``kind:start:end`` by kind, then start, joined by commas.
-    near: the terms around the entities, each with its place and whether it is the first with that entity in the text.
     """
-    names = ["doc_id", "x", "y", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "near"]
-    near_type = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("first", pa.bool_())]))
+    names = ["doc_id", "x", "y", "n_email", "n_ip", "n_card", "n_phone", "base", "entities"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,33 +117,46 @@ def find_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 spans = base_spans(text)
                 flat = [(kind, a, b) for kind in KINDS for a, b in spans[kind]]
                 names_of = [_entity(kind, text[a:b]) for kind, a, b in flat]
-                places = sorted((a, b) for _, a, b in flat)
-                seen, near = set(), []
-                for i, (kind, a, b) in enumerate(flat):
-                    close = [p for p in _around(places, a - 2 * REACH, b + 2 * REACH)]
-                    for _, s, term, e in _near(text, [(a, b)], close):
-                        first = (names_of[i], term) not in seen
-                        seen.add((names_of[i], term))
-                        near.append({"e": names_of[i], "t": term, "a": s, "b": e, "first": first})
-                rows.append((*(len(spans[k]) for k in KINDS), ",".join(f"{k}:{a}:{b}" for k, a, b in flat), sorted(set(names_of)), near))
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64()), near_type]
+                rows.append((*(len(spans[k]) for k in KINDS), ",".join(f"{k}:{a}:{b}" for k, a, b in flat), sorted(set(names_of))))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("x"), F.xxhash64(F.lit(1), id_col, text_col).alias("y"), F.col(text_col).alias("text"))
-    ddl = f"doc_id {kind}, x long, y long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<long>, near array<struct<e:long,t:string,a:long,b:long,first:boolean>>"
+    ddl = f"doc_id {kind}, x long, y long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<long>"
     return rows.mapInArrow(run, ddl)
 
 
-def _around(places: list[tuple[int, int]], lo: int, hi: int) -> list[tuple[int, int]]:
-    from bisect import bisect_left
+def _pair_counts(docs: DataFrame, text_col: str, entities: DataFrame) -> DataFrame:
+    """(e, t, n_et): in how many documents each of the entities and each term occur, anywhere in the text."""
+
+    def counts(only: frozenset[int]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: Counter = Counter()
+
+            def flush() -> pa.RecordBatch:
+                out = [[e for e, _ in found], [t for _, t in found], list(found.values())]
+                found.clear()
+                return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], ["e", "t", "n"])
 
-    # a longer span that starts before lo but reaches in would be missed; places is sorted, so step back over it
-    k = bisect_left(places, (lo, 0))
-    while k and places[k - 1][1] > lo:
-        k -= 1
-    return places[k : bisect_left(places, (hi, 0))]
+            for batch in batches:
+                for text in batch.column(0):
+                    text = text.as_py() or ""
+                    own = only.intersection(_entities(text))
+                    terms = {t for _, _, t in _terms(text)} if own else ()
+                    for e in own:
+                        found.update((e, t) for t in terms)
+                        if len(found) > PAIRS:
+                            yield flush()
+            yield flush()
+
+        return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "e long, t string, n long")
+
+    out = docs.sparkSession.createDataFrame([], "e long, t string, n long")
+    for part in _parts(entities.select("e"), "e"):
+        out = out.union(counts(frozenset(r.e for r in part)))
+    return out.groupBy("e", "t").agg(F.sum("n").alias("n_et"))
 
 
 def _term_counts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -158,36 +180,69 @@ def _term_counts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame
 def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", disclosure: float = 0.8, support: int = 3) -> DataFrame:
     """(e, t, ratio): terms that reveal an entity, over all documents.
 
-    A term t tells PMI(e, t) = log p(e | t) / p(e) of an entity's information IC(e) = -log p(e). Pairs that occur near each
-    other in at least ``support`` documents and whose ratio PMI / IC reaches ``disclosure`` are returned.
+    A term t tells PMI(e, t) = log p(e | t) / p(e) of an entity's information IC(e) = -log p(e). Pairs that occur in
+    ``support`` or more documents together, anywhere in them, and whose ratio PMI / IC reaches ``disclosure`` are returned.
     """
     total = found.count()
-    pairs = found.select(F.explode("near").alias("p")).where("p.first").groupBy("p.e", "p.t").agg(F.count("*").alias("n_et"))
-    pairs = materialize(pairs.where(F.col("n_et") >= support), "pairs")
-    entities = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    entities = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
+    # n_et <= n_e, so rarer entities have no pair with the support
+    entities = materialize(entities.where((F.col("n_e") >= support) & (F.col("n_e") < total)), "frequent")
+    pairs = materialize(_pair_counts(docs, text_col, entities).where(F.col("n_et") >= support), "pairs")
     terms = materialize(_term_counts(docs, text_col, materialize(pairs.select("t").distinct(), "terms")), "terms")
-    joined = pairs.join(hinted(terms), "t").join(entities, "e").where(F.col("n_e") < total)
-    # a term's places near entities are found with the same rules as its occurrences, so n_et <= n_t
+    joined = pairs.join(hinted(terms), "t").join(hinted(entities), "e")
+    # a term's places in documents with an entity are found with the same rules as its occurrences, so n_et <= n_t
     ratio = 1 - F.log(F.least(F.lit(1.0), F.col("n_et") / F.col("n_t"))) / F.log(F.col("n_e") / F.lit(float(max(total, 1))))
     return joined.select("e", "t", ratio.alias("ratio")).where(F.col("ratio") >= disclosure)
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.8, remove: float = 0.95, support: int = 3) -> DataFrame:
+def _marks(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, everywhere: bool) -> DataFrame:
+    """(x, y, a, b, ratio) of every occurrence of the terms, in all documents or in those with an entity they reveal."""
+
+    def marks(known: dict[str, dict[int | None, float]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for x, y, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                    text = text.as_py() or ""
+                    here = known.keys() & {_term(w) for w in set(WORD.findall(text))}
+                    if not here:
+                        continue
+                    own = {None, *(() if everywhere else _entities(text))}
+                    ratios = {t: max((r for e, r in known[t].items() if e in own), default=None) for t in here}
+                    out += [(x.as_py(), y.as_py(), a, b, ratios[t]) for a, b, t in _terms(text) if ratios.get(t) is not None]
+                cols = list(zip(*out, strict=True)) or [[]] * 5
+                kinds = [pa.int64()] * 4 + [pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["x", "y", "a", "b", "ratio"])
+
+        rows = docs.select(F.xxhash64(id_col, text_col).alias("x"), F.xxhash64(F.lit(1), id_col, text_col).alias("y"), F.col(text_col).alias("text"))
+        return rows.mapInArrow(run, "x long, y long, a long, b long, ratio double")
+
+    if everywhere:
+        terms = terms.groupBy("t").agg(F.max("ratio").alias("ratio")).withColumn("e", F.lit(None).cast("long"))
+    out = docs.sparkSession.createDataFrame([], "x long, y long, a long, b long, ratio double")
+    for part in _parts(terms, "t"):
+        known: dict[str, dict[int | None, float]] = {}
+        for r in part:
+            known.setdefault(r.t, {})[r.e] = r.ratio
+        out = out.union(marks(known))
+    return out
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.8, remove: float = 0.95, support: int = 3, everywhere: bool = False) -> DataFrame:
     """(doc_id, x, y, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each whole text.
 
     spans: all spans ``kind:start:end`` joined by commas: the base ones, then ``term`` (to be generalised) and ``gone``
-    (to be removed, disclosure of ``remove`` or more) by start. Terms are sought within WINDOW words of an entity
-    that they reveal, so documents without personal data keep all they have. Counts are of all documents, repeated rows included;
-    rows with equal id and text get the same result; null texts are empty. Offsets count code points. A common entity or
-    term is a partial aggregate; pairs come back to the documents by a join on (entity, term) that AQE splits.
+    (to be removed, disclosure of ``remove`` or more) by start. Every occurrence of a disclosing term is marked, with
+    ``everywhere`` in all documents, else in those with an entity that it reveals. Counts are of all documents, repeated
+    rows included; rows with equal id and text get the same result; null texts are empty. Offsets count code points. A
+    common entity or term is a partial aggregate.
     """
     found = materialize(find_entities(docs, id_col, text_col), "entities")
     terms = materialize(disclosing_terms(docs, found, text_col, disclosure, support), "disclosing")
-    near = found.select("x", "y", F.explode("near").alias("p")).select("x", "y", "p.e", "p.t", "p.a", "p.b")
-    spans = near.join(hinted(terms), ["e", "t"]).groupBy("x", "y", "a", "b").agg(F.max("ratio").alias("ratio"))
+    spans = _marks(docs, id_col, text_col, terms, everywhere).groupBy("x", "y", "a", "b").agg(F.max("ratio").alias("ratio"))
     spans = spans.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("a", "b", "ratio"))).alias("terms"))
     text = F.transform("terms", lambda s: F.concat_ws(":", F.when(s["ratio"] >= remove, "gone").otherwise("term"), s["a"], s["b"]))
-    out = found.drop("near", "entities").join(spans, ["x", "y"], "left")
+    out = found.drop("entities").join(spans, ["x", "y"], "left")
     joined = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.concat_ws(",", text))
     joined = F.when(F.col("terms").isNull(), F.col("base")).otherwise(joined)
     return out.select("doc_id", "x", "y", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), joined.alias("spans"))

@@ -60,7 +60,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_personal_data(_table(spark, sf_dir, "documents")).drop("x", "y")
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"), everywhere=True).drop("x", "y")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

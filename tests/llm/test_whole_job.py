@@ -6,7 +6,7 @@ import pytest
 
 pytest.importorskip("scholion.llm")
 
-from scholion.llm import licenses, quality_rules
+from scholion.llm import licenses, pii, quality_rules
 
 
 def test_blank_lines_do_not_count(spark):
@@ -41,3 +41,17 @@ def test_wrapped_notices(spark):
         _, a, b = span.split(":")
         assert got[k].n_notices == 1 and texts[k][: int(a)].endswith("\n") and texts[k][int(b)] == "\n"
     assert got[1].spans == f"Apache-2.0:2:{len(texts[1])},MIT:2:{len(texts[1])}"
+
+
+def test_far_terms_disclose(spark):
+    """A term counts anywhere in the documents with an entity, and all its occurrences are marked."""
+    words = ["sun", "moon", "tree", "river", "stone", "cloud", "grass", "wind"]
+    filler = " ".join(words * 5)
+    data = [(k, f"{filler} zorblatt {filler} jo@ex.org {filler} Zorblatt, {filler}") for k in range(5)] + [(k, filler) for k in range(5, 200)] + [(200, "zorblatt alone")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    clean = {r.doc_id: r.text for r in pii.sanitised_documents(df, everywhere=True).collect()}
+    assert not any("zorblatt" in t.lower() or "jo@ex.org" in t for t in clean.values())
+    assert clean[200] == " alone" and all(clean[k] == filler for k in range(5, 200))
+    assert clean[0] == f"{filler}  {filler} [EMAIL] {filler} , {filler}"
+    own = {r.doc_id: r.text for r in pii.sanitised_documents(df).collect()}
+    assert own[200] == "zorblatt alone" and own[0] == clean[0]
