@@ -18,8 +18,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar 4-word shingle sets stays: the one with the smallest id."""
-    groups = ngram_join.ngram_jaccard_components(docs)
+    """One document of each group of 5-word shingle sets with a Jaccard of 0.8 or more stays: the one with the smallest id."""
+    groups = ngram_join.ngram_jaccard_components(docs, size=5, percent=80)
     gone = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return docs.join(hinted(gone), "doc_id", "left_anti").select(*docs.columns)
 
