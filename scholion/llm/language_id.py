@@ -20,6 +20,8 @@ LETTER = regex.compile(r"\p{L}").search
 BLOCK = 64
 #: Scored words that a worker keeps before it starts anew.
 WORDS = 300_000
+#: Log-probability of a byte without a piece.
+LEAST = math.log(1e-9)
 SPREAD, SHIFT = np.uint64(0xD6E8FEB86659FD93), np.uint64(44)
 
 
@@ -124,8 +126,12 @@ class PieceModel:
         return hashes[order], np.array(self.chances).reshape(len(self.pieces), -1)[order], seen
 
 
-def fit_pieces(pieces: list[str], counts: dict[str, dict[str, int]], rounds: int = 3, prior: float = 0.05) -> PieceModel:
-    """Estimate piece probabilities from word counts by language: EM, each word's segmentations weighed by probability."""
+def fit_pieces(pieces: list[str], counts: dict[str, dict[str, int]], rounds: int = 3, prior: float = 0.05, inner: dict[str, dict[str, int]] | None = None) -> PieceModel:
+    """Estimate piece probabilities from word counts by language: EM, each word's segmentations weighed by probability.
+
+    ``inner`` counts blocks of words that do not stand at a word's start. Forward and backward sums are scaled at each
+    letter, so that no block underflows.
+    """
     model = PieceModel(pieces, sorted(counts))
     size = len(pieces)
     columns = []
@@ -134,19 +140,24 @@ def fit_pieces(pieces: list[str], counts: dict[str, dict[str, int]], rounds: int
         for word, n in counts[language].items():
             word = "▁" + word
             words += [(n, len(word[at : at + BLOCK]), model.edges(word[at : at + BLOCK])) for at in range(0, len(word), BLOCK)]
+        for block, n in (inner or {}).get(language, {}).items():
+            words.append((n, len(block), model.edges(block)))
         p = [1.0 / size] * size
         for _ in range(rounds):
             found = [prior] * size
             for n, length, edges in words:
-                chances = [p[k] if isinstance(k, int) else math.prod(p[b] if b is not None else 1e-9 for b in k) for _, _, k in edges]
+                logs = [math.log(p[k]) if isinstance(k, int) else sum(math.log(p[b]) if b is not None else LEAST for b in k) for _, _, k in edges]
+                # the best way to each letter is the scale of the sums there: all of them are 1 or a little more
+                top = [0.0] + [-math.inf] * length
+                for (i, j, _), c in zip(edges, logs, strict=True):
+                    top[j] = max(top[j], top[i] + c)
+                chances = [math.exp(top[i] + c - top[j]) for (i, j, _), c in zip(edges, logs, strict=True)]
                 ahead, back = [0.0] * (length + 1), [0.0] * (length + 1)
                 ahead[0] = back[length] = 1.0
                 for (i, j, _), c in zip(edges, chances, strict=True):
                     ahead[j] += ahead[i] * c
                 for (i, j, _), c in zip(reversed(edges), reversed(chances), strict=True):
                     back[i] += back[j] * c
-                if not ahead[length]:
-                    continue
                 for (i, j, k), c in zip(edges, chances, strict=True):
                     share = n * ahead[i] * c * back[j] / ahead[length]
                     for b in (k,) if isinstance(k, int) else k:
@@ -176,11 +187,16 @@ def fit_language_model(docs: DataFrame, vocabulary: str, per_language: int = 120
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r.lang, min(1.0, per_language / r["count"]))))
     rank = F.pmod(F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     words = known.where(rank < F.coalesce(share[F.col(lang_col)], F.lit(0.0)))
-    words = words.select(F.col(lang_col).alias("lang"), F.explode(F.split(F.lower(text_col), "\\s+")).alias("word")).where("length(word) between 1 and 64")
+    words = words.select(F.col(lang_col).alias("lang"), F.explode(F.split(F.lower(text_col), "\\s+")).alias("word")).where("length(word) > 0")
+    # runs without spaces, as whole clauses in some scripts: the blocks that ``fit_pieces`` cuts, counted by themselves
+    size = F.length("word")
+    cuts = F.transform(F.sequence(F.lit(0), F.floor(size / BLOCK).cast("int")), lambda k: F.struct((k > 0).alias("inner"), F.substring(F.col("word"), F.greatest(k * BLOCK, F.lit(1)), F.when(k == 0, BLOCK - 1).otherwise(BLOCK)).alias("word")))
+    words = words.select("lang", F.explode(cuts).alias("c")).select("lang", "c.inner", "c.word").where("word <> ''")
     counts: dict[str, dict[str, int]] = {r.lang: {} for r in sizes}
-    for r in words.groupBy("lang", "word").count().orderBy("lang", "word").toLocalIterator():
-        counts[r.lang][r.word] = r["count"]
-    return fit_pieces(read_pieces(vocabulary), counts)
+    inner: dict[str, dict[str, int]] = {r.lang: {} for r in sizes}
+    for r in words.groupBy("lang", "inner", "word").count().orderBy("lang", "inner", "word").toLocalIterator():
+        (inner if r.inner else counts)[r.lang][r.word] = r["count"]
+    return fit_pieces(read_pieces(vocabulary), counts, inner=inner)
 
 
 def predict_language(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -1,12 +1,14 @@
 """Cases that an operator must judge on the whole text: blank lines, wrapped notices, far terms, unspaced scripts."""
 
+import random
 import textwrap
 
 import pytest
 
 pytest.importorskip("scholion.llm")
 
-from scholion.llm import licenses, pii, quality_rules
+from scholion.llm import language_id, licenses, pii, quality_rules
+from scholion.llm.queries import vocabulary
 
 
 def test_blank_lines_do_not_count(spark):
@@ -55,3 +57,17 @@ def test_far_terms_disclose(spark):
     assert clean[0] == f"{filler}  {filler} [EMAIL] {filler} , {filler}"
     own = {r.doc_id: r.text for r in pii.sanitised_documents(df).collect()}
     assert own[200] == "zorblatt alone" and own[0] == clean[0]
+
+
+def test_languages_without_spaces(spark):
+    """Runs of more than 64 characters are learned from, also where no character has a piece of its own."""
+    rng = random.Random(12)
+    letters = {"km": [chr(0x1780 + k) for k in range(30)], "lo": [chr(0xE81 + k) for k in (0, 1, 3, 6, 7, 9, 12, 19, 20, 21, 22, 24, 25, 26)], "my": [chr(0x1000 + k) for k in range(30)]}
+    data = [(k, "".join(rng.choice(letters[lang]) for _ in range(150)), lang) for k in range(150) for lang in [sorted(letters)[k % 3]]]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = language_id.fit_language_model(df, vocabulary("piece_bpe_32k.model"))
+    got = language_id.predict_language(df, model, keep=["lang"]).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+    one = language_id.fit_pieces(model.pieces, {"km": {"".join(letters["km"]) * 2: 5}})
+    khmer = one.chance(tuple(one.bytes[b] for b in letters["km"][0].encode()))[0]
+    assert khmer > one.chance(tuple(one.bytes[b] for b in letters["my"][0].encode()))[0] * 5
