@@ -44,6 +44,8 @@ def bfs(edge: DataFrame, start: DataFrame, is_result: Column | None = None, limi
         if not frontier.limit(1).count():
             break
         found = found.unionByName(frontier)
+    else:
+        raise RuntimeError(f"nodes lie at a depth of {limit - 1} or more; raise the limit")
     return found if is_result is None else found.where(is_result)
 
 
