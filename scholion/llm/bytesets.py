@@ -12,7 +12,7 @@ np.seterr(over="ignore")  # 64-bit arithmetic wraps on purpose
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that powers can be inverted modulo 2**64
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 #: Bytes of text that are hashed at once; a longer text is a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
