@@ -14,16 +14,19 @@ from scholion.llm.bytesets import mix, shingle_sets
 from scholion.llm.components import connected_components
 from scholion.session import discard, hinted, materialize
 
-#: Most n-grams that are put last in the global order; they are broadcast (16 MB).
-FREQUENT = 2_000_000
 #: Most class ids that are handed to the Python workers as one array (16 MB); beyond it a join filters.
 SENT = 2_000_000
-#: An n-gram is never called frequent up to this number of classes.
-LEAST = 16
-#: Times that the order is refined: later rounds find ever fewer frequent n-grams.
-ROUNDS = 2
+#: Class ids that a task remembers, so that it sends the fragments of copies once.
+SEEN = 100_000
+#: Partners that one task compares with a class.
+PART = 2_000
 #: Longs of a class's parity sketch.
 SKETCH = 8
+#: Growth of the sizes that share one cut into fragments.
+GROWTH = 1.5
+#: Cuts that are tried for a set that leaves too many fragments empty.
+CUTS = 4
+SIGN = np.uint64(1 << 63)
 
 
 @dataclass
@@ -36,22 +39,77 @@ class JaccardGroups:
     components: DataFrame
 
 
-def _ordered(values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """A set in the global order: rare n-grams by hash, then the frequent ones by hash."""
-    if not len(frequent):
-        return values
-    at = np.searchsorted(frequent, values)
-    often = frequent[np.minimum(at, len(frequent) - 1)] == values
-    return np.concatenate([values[~often], values[often]])
+class FragmentPlan:
+    """How the global n-gram order, that of the hashes, is cut into fragments.
 
+    Sets of similar sizes share a scheme; the pair of a and b, a the smaller, belongs to the scheme of b's size. Two sets
+    with the similarity differ in at most ``differ`` n-grams, so of ``differ + 1 + spare`` fragments they agree on
+    ``spare + 1`` or more. If one of them leaves at most ``spare`` fragments empty, they agree on one that is not empty.
+    Sets that leave more empty are cut in other ways too, by other hashes, and after ``CUTS`` of them give their empty
+    fragments as well; so no pair is missed.
+    """
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.sizes = [1]
+        while self.sizes[-1] < 1 << 31:
+            self.sizes.append(max(self.sizes[-1] + 1, int(self.sizes[-1] * GROWTH)))
+        fragments, spare = [], []
+        for low, high in zip(self.sizes, self.sizes[1:], strict=False):
+            differ = 2 * (high - 1) * (100 - percent) // (100 + percent)
+            least = -(-percent * low // 100)
+            empty = (differ + 1) * (differ / (differ + 1)) ** least
+            spare.append(int(np.ceil(empty + np.sqrt(empty))) if differ else 0)
+            fragments.append(differ + 1 + spare[-1])
+        self.fragments, self.spare = np.array(fragments, np.int64), np.array(spare, np.int64)
+
+    def scheme(self, n: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.sizes, n, "right") - 1
+
+    def keys(self, values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, key): a key for each fragment of each set and scheme that the set can meet a partner in."""
+        n = np.diff(bounds)
+        first, last = self.scheme(n), self.scheme(100 * n // self.percent)
+        rows_out, keys_out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for step in range(int((last - first).max(initial=-1)) + 1):
+            rows = np.flatnonzero((n > 0) & (first + step <= last))
+            for cut in range(CUTS):
+                if not len(rows):
+                    break
+                many, scheme = n[rows], first[rows] + step
+                fragments = self.fragments[scheme]
+                owner = np.repeat(np.arange(len(rows)), many)
+                u = values[np.arange(len(owner)) + (bounds[rows] - np.cumsum(many) + many)[owner]].view(np.uint64) ^ SIGN
+                if cut:
+                    u = mix(u + np.uint64(cut))
+                    u = u[np.lexsort((u, owner))]
+                at = ((u >> np.uint64(32)) * fragments[owner].astype(np.uint64)) >> np.uint64(32)
+                new = np.ones(len(at), bool)
+                new[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
+                begin = np.flatnonzero(new)
+                place = lambda r, f: mix((((scheme[r] * CUTS + cut) << 32) + f + 1).astype(np.uint64))  # noqa: B023, E731
+                rows_out.append(rows[owner[begin]])
+                keys_out.append(mix(np.add.reduceat(mix(u), begin) + place(owner[begin], at[begin].astype(np.int64))))
+                poor = np.flatnonzero(fragments - np.bincount(owner[begin], minlength=len(rows)) > self.spare[scheme])
+                if cut == CUTS - 1:
+                    for r in poor.tolist():
+                        f = np.setdiff1d(np.arange(fragments[r]), at[owner == r].astype(np.int64))
+                        rows_out.append(np.full(len(f), rows[r]))
+                        keys_out.append(mix(place(np.full(len(f), r), f)))
+                rows = rows[poor]
+        return np.concatenate(rows_out), np.concatenate(keys_out).view(np.int64)
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, n, node, check, sketch, prefix): the set's size, its 128-bit fingerprint, the parities of its hashes by
-    512 places, and its prefix in the global order."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+def _names(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit fingerprint of each set."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values.view(np.uint64)))])
+    return mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(doc_id, n, node, sketch): the set's size, its fingerprint, and the parities of its hashes by 512 places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
         for batch in batches:
             for lo, values, bounds in shingle_sets(batch.column(1), size):
                 n = np.diff(bounds)
@@ -59,49 +117,62 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int,
                 flips = np.zeros((len(n), SKETCH), np.uint64)
                 np.bitwise_xor.at(flips, (np.repeat(np.arange(len(n)), n), (u >> np.uint64(6)) % np.uint64(SKETCH)), np.uint64(1) << (u & np.uint64(63)))
                 sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * SKETCH, pa.int32()), pa.array(flips.ravel().view(np.int64)))
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (mix(u), mix(~u))]
-                node, check = (mix(s[bounds[1:]] - s[bounds[:-1]] + n.astype(np.uint64)).view(np.int64) for s in sums)
-                empty = n == 0
-                parts, lengths = [], []
-                for a, b, m in zip(bounds[:-1].tolist(), bounds[1:].tolist(), n.tolist(), strict=True):
-                    p = m - (percent * m + 99) // 100 + 1 if m else 0
-                    parts.append(_ordered(values[a:b], often)[:p])
-                    lengths.append(len(parts[-1]))
-                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate(parts), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(n)), pa.array(n, pa.int64()), pa.array(node, mask=empty), pa.array(check, mask=empty), sketch, prefix], ["doc_id", "n", "node", "check", "sketch", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(n)), pa.array(n, pa.int64()), pa.array(_names(values, bounds), mask=n == 0), sketch], ["doc_id", "n", "node", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, node long, check long, sketch array<long>, prefix array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, node long, sketch array<long>")
 
 
-def _segments(docs: DataFrame, text_col: str, size: int, fragments: int, wanted: DataFrame) -> DataFrame:
-    """(node, f, segment) of the wanted nodes: the part of each set in each fragment of the hash range."""
-    shift = np.uint64(64 - int(fragments).bit_length() + 1)
-    rows = wanted.limit(SENT + 1).collect() if wanted.count() <= SENT else None
-    only = None if rows is None else np.sort(np.array([r[0] for r in rows], np.int64))
+def _fragments(docs: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
+    """(h, node, n): the key of each fragment of each set. A task sends a set once, as far as it remembers."""
+    plan = FragmentPlan(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for _, values, bounds in shingle_sets(batch.column(0), size):
-                n = np.diff(bounds)
-                u = values.view(np.uint64)
-                s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(u))])
-                node = mix(s[bounds[1:]] - s[bounds[:-1]] + n.astype(np.uint64)).view(np.int64)
-                keep = n > 0
-                if only is not None:
-                    keep &= np.isin(node, only)
-                out: list[tuple] = []
-                for r in np.flatnonzero(keep).tolist():
-                    part = values[bounds[r] : bounds[r + 1]]
-                    f = (part.view(np.uint64) >> shift).astype(np.int32)
-                    out += [(int(node[r]), int(x), part[f == x]) for x in np.unique(f)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["node", "f", "segment"])
-
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, f int, segment array<long>")
-    if only is None:
-        found = found.join(wanted, "node", "left_semi")
-    return found.groupBy("node", "f").agg(F.first("segment").alias("segment"))
+                n, node = np.diff(bounds), _names(values, bounds)
+                fresh = np.zeros(len(n), bool)
+                for r, x in enumerate(node.tolist()):
+                    if x not in seen:
+                        seen.add(x)
+                        fresh[r] = True
+                if len(seen) > SEEN:
+                    seen.clear()
+                fresh &= n > 0
+                own = np.concatenate([[0], np.cumsum(n[fresh])])
+                row, key = plan.keys(values[np.repeat(fresh, n)], own)
+                at = np.flatnonzero(fresh)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[at]), pa.array(n[at].astype(np.int32))], ["h", "node", "n"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "h long, node long, n int")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, node, n) sorted by h and node: those whose key occurs with two nodes or more, and the first of them as hub."""
+    names = ["h", "node", "n", "hub"]
+    last = hub = None  # the last row; the hub of its key if that has met a second node
+    for batch in batches:
+        if not len(batch):
+            continue
+        h, node, n = (c.to_numpy() for c in batch.columns)
+        if last is not None:
+            h, node, n = (np.concatenate([[x], y]) for x, y in zip(last, (h, node, n), strict=True))
+        keep = np.ones(len(h), bool)
+        keep[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
+        h, node, n = h[keep], node[keep], n[keep]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        begin = np.flatnonzero(new)
+        many = np.diff(np.append(begin, len(h)))
+        hubs = np.repeat(node[begin], many)
+        out = np.repeat(many > 1, many)
+        if hub is not None:  # the first row is out already, and what follows with its key belongs to its hub
+            hubs[: many[0]] = hub
+            out[0] = False
+        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (h, node, n.astype(np.int32), hubs)], names)
+        hub = int(hubs[-1]) if many[-1] > 1 or (hub is not None and len(begin) == 1) else None
+        last = (h[-1], node[-1], n[-1])
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -114,68 +185,102 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return rows.where(F.expr(f"100 * (n_a + n_b - differ) >= {percent} * (n_a + n_b + differ)")).select("a", "b", "n_a", "n_b")
 
 
+def _texts(docs: DataFrame, text_col: str, size: int, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes, one text for each."""
+    only = np.sort(wanted.toArrow().column(0).to_numpy()) if wanted.count() <= SENT else None
+    shared = docs.sparkSession.sparkContext.broadcast(only)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only, seen = shared.value, set()
+        for batch in batches:
+            for lo, values, bounds in shingle_sets(batch.column(0), size):
+                node = _names(values, bounds)
+                keep = np.diff(bounds) > 0
+                if only is not None:
+                    keep &= np.isin(node, only)
+                rows = [r for r in np.flatnonzero(keep).tolist() if node[r] not in seen]
+                seen.update(node[rows].tolist())
+                if len(seen) > SEEN:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(node[rows]), batch.column(0).take(pa.array(rows, pa.int64()) if not rows else pa.array(np.array(rows) + lo))], ["node", "text"])
+
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, text string")
+    if only is None:
+        found = found.join(wanted, "node", "left_semi")
+    return found.groupBy("node").agg(F.first("text").alias("text"))
+
+
+def _overlaps(size: int, fragments: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (hub, part, node, text) sorted by hub and part, the hub's own first, become (a, b, f, overlap)."""
+        hub, whole = None, np.zeros(0, np.int64)
+        for batch in batches:
+            hubs, nodes = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for lo, values, bounds in shingle_sets(batch.column(3), size):
+                out = []
+                for k in range(len(bounds) - 1):
+                    own = values[bounds[k] : bounds[k + 1]]
+                    if hubs[lo + k] == nodes[lo + k]:
+                        hub, whole = hubs[lo + k], own
+                        continue
+                    assert hubs[lo + k] == hub
+                    both = own[whole[np.minimum(np.searchsorted(whole, own), len(whole) - 1)] == own]
+                    f = ((both.view(np.uint64) ^ SIGN) >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
+                    part = np.bincount(f.astype(np.int64), minlength=fragments)
+                    out += [(hub, nodes[lo + k], x, c) for x, c in enumerate(part.tolist()) if c]
+                cols = list(zip(*out, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "f", "overlap"])
+
+    return run
+
+
 def _verified(docs: DataFrame, text_col: str, size: int, percent: int, fragments: int, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) whose partial overlaps, counted per fragment and summed, reach the threshold."""
+    """Pairs (a, b, n_a, n_b) whose partial overlaps, counted per fragment and summed, reach the threshold: (a, b, overlap)."""
     pairs = materialize(_possible(pairs, sketches, percent), "possible")
     nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "candidates")
-    segments = materialize(_segments(docs, text_col, size, fragments, nodes), "segments")
-    left = segments.select(F.col("node").alias("a"), "f", F.col("segment").alias("left"))
-    right = segments.select(F.col("node").alias("b"), "f", F.col("segment").alias("right"))
-    partial = pairs.join(left, "a").join(right, ["b", "f"])
-    links = (
-        partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum(F.size(F.array_intersect("left", "right"))).alias("overlap"))
-        .where(F.expr(f"100 * overlap >= {percent} * (n_a + n_b - overlap)")).select("a", "b", "overlap")
-    )
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    asks = pairs.select("a", "b").join(parts, "a").select(F.col("b").alias("node"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
+    asks = asks.union(parts.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+    met = _texts(docs, text_col, size, nodes).join(asks, "node").select("hub", "part", "node", "text", (F.col("node") != F.col("hub")).alias("other"))
+    met = met.repartition("hub", "part").sortWithinPartitions("hub", "part", "other").select("hub", "part", "node", "text")
+    partial = met.mapInArrow(_overlaps(size, fragments), "a long, b long, f long, overlap long")
+    sums = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
+    links = pairs.join(sums, ["a", "b"]).where(F.expr(f"100 * overlap >= {percent} * (n_a + n_b - overlap)")).select("a", "b", "overlap")
     links = materialize(links, "links")
-    discard(nodes, segments, pairs)
+    discard(nodes, pairs)
     return links
 
 
 def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, fragments: int = 8) -> JaccardGroups:
     """Group documents whose sets of word n-grams have a Jaccard similarity of ``percent`` / 100 or more; exact.
 
-    1. Documents with the same set form one class, named by a 64-bit fingerprint of the set (a second one guards the
-       grouping), so copies are never paired with one another.
-    2. The n-grams have one global order: by hash, frequent ones last. Two similar sets share an n-gram of their
-       prefixes in any such order. A count over all prefixes finds the frequent n-grams, and the prefixes are taken
-       anew. At most ``FREQUENT`` n-grams can reach the limit, which grows with the sum of all prefixes.
-    3. Classes that share a prefix n-gram are first paired with two hub classes of that n-gram only. What remains
-       between different components after that is paired in full, within the length bound; n-grams all of whose
-       classes are in one component are done. So a group of near copies costs a linear number of pairs.
-    4. Pairs that their sketches rule out go. For the rest the n-gram order is cut into ``fragments``; a pair's overlap is
-       counted per fragment on the partial sets and summed.
+    1. Documents with the same set form one class, named by a 64-bit fingerprint of the set, so copies are never paired
+       with one another.
+    2. The global n-gram order is cut into fragments (``FragmentPlan``), each joined by itself: two similar sets agree
+       on the whole of one fragment at least. A fragment that holds common n-grams only is shared as a whole or not at
+       all, so common passages make no pairs of documents that differ otherwise.
+    3. Classes that agree on a fragment are first paired with one hub class of that fragment. What remains between
+       different components after that is paired in full, within the length bound and the bound of the parity sketches;
+       fragments all of whose classes are in one component are done. So a group of near copies costs a linear number of
+       pairs.
+    4. A pair's overlap is counted on each of ``fragments`` parts of the order by itself and summed. A class with many
+       partners is compared in several tasks.
 
     Letters A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; a text with fewer than ``size`` words is one n-gram;
     texts that are null or without words have an empty set, which links with nothing. Repeated rows and repeated or
     null ids are kept: each row is a member of its set's class. Extra columns are ignored.
     """
-    frequent = np.zeros(0, np.int64)
-    for k in range(ROUNDS):
-        sets = materialize(_sets(docs, id_col, text_col, size, percent, frequent), "sets")
-        classes = sets.where("n > 0").groupBy("node", "check", "n").agg(F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
-        classes = materialize(classes, "classes")
-        tokens = classes.select("node", "n", F.explode("prefix").alias("h"))
-        found = materialize(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "shared")
-        total = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
-        limit = max(LEAST, total // FREQUENT + 1)
-        new = [r.h for r in found.where(F.col("df") > limit).select("h").collect()] if k < ROUNDS - 1 else []
-        if not new:
-            break
-        frequent = np.sort(np.array(new, np.int64))
-        discard(sets, classes, found)
-    sketches = classes.groupBy("node").agg(F.first("sketch").alias("sketch"))
+    sets = materialize(_sets(docs, id_col, text_col, size), "sets")
     members = sets.select("doc_id", F.col("n").alias("n_shingles"), "node")
-    shared = materialize(tokens.join(hinted(found), "h"), "tokens")
+    sketches = materialize(sets.where("n > 0").groupBy("node").agg(F.first("sketch").alias("sketch")), "sketches")
+    met = _fragments(docs, text_col, size, percent).repartition("h").sortWithinPartitions("h", "node")
+    shared = materialize(met.mapInArrow(_met, "h long, node long, n int, hub long"), "shared")
 
-    score = shared.groupBy("node").agg(F.sum("df").alias("score"))
-    slots = shared.join(score, "node")
-    hubs = slots.groupBy("h").agg(F.max_by("node", F.struct("score", "node")).alias("x"), F.min_by("node", F.xxhash64("node")).alias("y"))
-    hubs = hubs.select("h", F.explode(F.array_distinct(F.array("x", "y"))).alias("hub"))
-    sizes = shared.select(F.col("node").alias("hub"), F.col("n").alias("n_hub")).distinct()
+    sizes = sets.where("n > 0").groupBy(F.col("node").alias("hub")).agg(F.first(F.col("n").cast("int")).alias("n_hub"))
     fits = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    pairs = shared.join(hubs, "h").where("node <> hub").select("node", "n", "hub").distinct().join(sizes, "hub")
-    ab = F.expr("if(node < hub, named_struct('a', node, 'b', hub, 'n_a', n, 'n_b', n_hub), named_struct('a', hub, 'b', node, 'n_a', n_hub, 'n_b', n)) as p")
-    first = materialize(pairs.select(ab).select("p.*").where(fits).distinct(), "pairs")
+    pairs = shared.where("node <> hub").select("node", "n", "hub").distinct().join(sizes, "hub")
+    pairs = pairs.select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("n_hub").alias("n_a"), F.col("n").alias("n_b"))  # the hub is the smaller name
+    first = materialize(pairs.where(fits), "pairs")
     links = _verified(docs, text_col, size, percent, fragments, first, sketches)
     components = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
@@ -195,7 +300,7 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     links = links.union(more)
     if more.limit(1).count():
         components = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    discard(shared, owned, open_, first, rest, classes, found)
+    discard(shared, owned, open_, first, rest, sketches)
     return JaccardGroups(members, links, components)
 
 
