@@ -212,7 +212,7 @@ def _texts(docs: DataFrame, text_col: str, size: int, wanted: DataFrame) -> Data
 
 def _overlaps(size: int, fragments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (hub, part, node, text) sorted by hub and part, the hub's own first, become (a, b, f, overlap)."""
+        """Rows (hub, part, node, text) sorted by hub and part, the hub's own first, become (a, b, overlaps), an overlap for each fragment."""
         hub, whole = None, np.zeros(0, np.int64)
         for batch in batches:
             hubs, nodes = batch.column(0).to_numpy(), batch.column(2).to_numpy()
@@ -226,10 +226,10 @@ def _overlaps(size: int, fragments: int):
                     assert hubs[lo + k] == hub
                     both = own[whole[np.minimum(np.searchsorted(whole, own), len(whole) - 1)] == own]
                     f = ((both.view(np.uint64) ^ SIGN) >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
-                    part = np.bincount(f.astype(np.int64), minlength=fragments)
-                    out += [(hub, nodes[lo + k], x, c) for x, c in enumerate(part.tolist()) if c]
-                cols = list(zip(*out, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "f", "overlap"])
+                    out.append((hub, nodes[lo + k], np.bincount(f.astype(np.int64), minlength=fragments)))
+                cols = list(zip(*out, strict=True)) or [[]] * 3
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["a", "b", "overlaps"])
 
     return run
 
@@ -243,8 +243,8 @@ def _verified(docs: DataFrame, text_col: str, size: int, percent: int, fragments
     asks = asks.union(parts.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
     met = _texts(docs, text_col, size, nodes).join(asks, "node").select("hub", "part", "node", "text", (F.col("node") != F.col("hub")).alias("other"))
     met = met.repartition("hub", "part").sortWithinPartitions("hub", "part", "other").select("hub", "part", "node", "text")
-    partial = met.mapInArrow(_overlaps(size, fragments), "a long, b long, f long, overlap long")
-    sums = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
+    partial = met.mapInArrow(_overlaps(size, fragments), "a long, b long, overlaps array<long>")
+    sums = partial.select("a", "b", F.aggregate("overlaps", F.lit(0).cast("long"), lambda s, x: s + x).alias("overlap"))
     links = pairs.join(sums, ["a", "b"]).where(F.expr(f"100 * overlap >= {percent} * (n_a + n_b - overlap)")).select("a", "b", "overlap")
     links = materialize(links, "links")
     discard(nodes, pairs)
