@@ -6,12 +6,10 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +19,12 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: No match of the pattern goes on from a character that is not white space to one that is, so such parts can be encoded one by one.
 PARTS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
-#: Nodes of the trie, and entries of the cache of parts, after which a worker starts either anew.
-NODES = 1_000_000
-WORDS = 400_000
+#: Nodes of the trie, after which a worker starts it anew.
+NODES = 400_000
+#: Bytes of the cache of parts, about, after which a worker starts it anew; larger batches are encoded in pieces.
+CACHED = 48 << 20
+#: Characters of a batch that are encoded at once.
+LARGE = 1 << 20
 #: Bytes of a word that may enter the trie; longer ones are encoded on a trie of their own.
 LONGEST = 48
 
@@ -40,6 +41,11 @@ class ByteBpe:
 
     def __init__(self, spec: str):
         data = json.loads(spec)
+        split = data["pre_tokenizer"] or {}
+        if data["normalizer"] or data["model"]["type"] != "BPE" or split.get("type") != "ByteLevel" or split["add_prefix_space"] or not split.get("use_regex", True):
+            raise ValueError("only byte-level BPE without normalizer and prefix space is known")
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in data["added_tokens"]) or data["model"].get("dropout"):
+            raise ValueError("only added tokens that take no text beside them, and no dropout, are known")
         letters = _byte_letters()
         model = data["model"]
         raw = lambda token: bytes(letters[c] for c in token)
@@ -59,7 +65,13 @@ class ByteBpe:
         self.split = regex.compile(PATTERN).findall
         self.around = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.fits: dict[tuple[int, int], bool] = {}
+        self.release()
+
+    def release(self) -> None:
+        """Empty the caches, so that a worker that is kept for other tasks holds the vocabulary only."""
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.cached = 0
+        self.fits.clear()
         self.clear()
 
     def clear(self) -> None:
@@ -167,6 +179,7 @@ class ByteBpe:
                 known[w] = self._read(lasts)
         for p, ws in words.items():
             self.cache[p] = known[ws[0]] if len(ws) == 1 else tuple(i for w in ws for i in known[w])
+            self.cached += 200 + 3 * len(p) + 8 * len(self.cache[p])
 
     def parts_of(self, text: str) -> list[str]:
         """The text cut before white space, and around special tokens."""
@@ -180,15 +193,24 @@ class ByteBpe:
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text."""
         split = list(map(self.parts_of, texts))
-        every = set().union(*split)
-        if len(self.cache) + len(every) > WORDS:
+        if sum(map(len, texts)) > LARGE:  # text by text, so that what is learned at once stays small
+            for parts in split:
+                ids: list[int] = []
+                for lo in range(0, len(parts), LARGE // 8):
+                    ids += self._known([parts[lo : lo + LARGE // 8]])[0]
+                yield ids
+        else:
+            yield from self._known(split)
+
+    def _known(self, split: list[list[str]]) -> list[list[int]]:
+        if self.cached > CACHED:
             self.cache.clear()
-        new = every.difference(self.cache)
+            self.cached = 0
+        new = set().union(*split).difference(self.cache)
         for s in new & self.special.keys():
             self.cache[s] = (self.special[s],)
         self.learn(new - self.special.keys())
-        for parts in split:
-            yield list(chain.from_iterable(map(self.cache.__getitem__, parts)))
+        return [list(chain.from_iterable(map(self.cache.__getitem__, parts))) for parts in split]
 
     def encode(self, text: str) -> list[int]:
         return next(self.encode_batch([text]))
@@ -197,26 +219,37 @@ class ByteBpe:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def _loaded(name: str) -> ByteBpe:
-    with open(SparkFiles.get(name), encoding="utf-8") as f:
-        return ByteBpe(f.read())
+_loaded: dict[str, ByteBpe] = {}
+
+
+def _encoder(digest: str, spec: str) -> ByteBpe:
+    """The encoder of a vocabulary; a worker keeps the last one that it used."""
+    if digest not in _loaded:
+        _loaded.clear()
+        _loaded[digest] = ByteBpe(spec)
+    return _loaded[digest]
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode and decode each whole text: (doc_id, n_tokens, ids_sha256, decoded_sha256), and ids on request.
 
-    vocabulary: path of the tokenizer's JSON on the driver; Spark sends the file to the executors. Special tokens are
+    vocabulary: path of the tokenizer's JSON on the driver; Spark sends its text to the executors. Special tokens are
     matched in the text, none are added. Null texts are empty. Rows are independent, so repeated rows and ids, and
     extra columns, do not matter. A worker's trie and caches are bounded and start anew when full.
     """
-    sc = docs.sparkSession.sparkContext
-    name = vocabulary.rpartition("/")[2]
-    if not any(f.rpartition("/")[2] == name for f in sc.listFiles):
-        sc.addFile(vocabulary)
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = f.read()
+    ByteBpe(spec)  # errors in the file show here
+    digest, shared = hashlib.sha256(spec.encode()).hexdigest(), docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(name)
+        bpe = _encoder(digest, shared.value)
+        try:
+            yield from encoded(bpe, batches)
+        finally:
+            bpe.release()
+
+    def encoded(bpe: ByteBpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 64):
                 texts = [t or "" for t in batch.column(1).slice(lo, 64).to_pylist()]

@@ -18,8 +18,9 @@ from scholion.llm.bytesets import powers
 LETTER = regex.compile(r"\p{L}").search
 #: Characters of a word that are segmented together; longer words are cut into blocks of so many.
 BLOCK = 64
-#: Scored words that a worker keeps before it starts anew.
-WORDS = 300_000
+#: Bytes of the scores, and characters of the words, that a worker keeps before it starts anew.
+SCORES = 8 << 20
+LETTERS = 4 << 20
 #: Log-probability of a byte without a piece.
 LEAST = math.log(1e-9)
 SPREAD, SHIFT = np.uint64(0xD6E8FEB86659FD93), np.uint64(44)
@@ -39,7 +40,7 @@ class PieceModel:
 
     pieces: list[str]
     languages: list[str]
-    chances: list[tuple[float, ...]] = field(default_factory=list)  # by piece, then language
+    chances: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # by piece, then language
 
     def __post_init__(self) -> None:
         self.index = {p: i for i, p in enumerate(self.pieces)}
@@ -91,11 +92,11 @@ class PieceModel:
         new[1:, 1:] = ~np.logical_and.accumulate((letters[1:] == letters[:-1]).T, axis=0)
         new[0, 1:] = False
         first = np.maximum.accumulate(np.where(new, np.arange(n), 0), axis=1)
+        # logarithms of the forward sums; they are added up relative to those one letter before, so that none underflows
         ahead = np.zeros((deep + 1, n, len(self.languages)))
-        ahead[0, 0] = 1.0
         for d in range(1, deep + 1):
             rows = np.flatnonzero(new[d] & (length >= d))
-            now = np.zeros((len(rows), len(self.languages)))
+            now, base = np.zeros((len(rows), len(self.languages))), ahead[d - 1][first[d - 1][rows]]
             whole = sums[d][rows]
             for start in range(max(0, d - self.longest), d):
                 h = (whole - sums[start][rows]) * down[start]
@@ -103,17 +104,18 @@ class PieceModel:
                 at = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
                 right = hashes[at] == h[maybe]
                 hit = maybe[right]
-                now[hit] += ahead[start][first[start][rows[hit]]] * chances[at[right]]
-                if start == d - 1 and len(hit) < len(rows):  # letters without a piece: their bytes' pieces
-                    miss = np.setdiff1d(np.arange(len(rows)), hit)
-                    extra = np.array([self.chance(tuple(self.bytes[b] for b in blocks[rows[m]][start].encode("utf-8", "replace"))) for m in miss])
-                    now[miss] += ahead[start][first[start][rows[miss]]] * extra
-            ahead[d, rows] = now
-        return np.log(np.maximum(ahead[length, first[length, np.arange(n)]], 1e-300))
-
-    def chance(self, pieces: tuple) -> tuple[float, ...]:
-        rows = [self.chances[k] if k is not None else (1e-9,) * len(self.languages) for k in pieces]
-        return tuple(math.prod(x) for x in zip(*rows, strict=True))
+                if start == d - 1:
+                    now[hit] += chances[at[right]]
+                    if len(hit) < len(rows):  # letters without a piece: their bytes' pieces
+                        miss = np.setdiff1d(np.arange(len(rows)), hit)
+                        now[miss] += np.array([self.chance(tuple(self.bytes[b] for b in blocks[rows[m]][start].encode("utf-8", "replace"))) for m in miss])
+                elif len(hit):
+                    now[hit] += np.exp(np.minimum(ahead[start][first[start][rows[hit]]] - base[hit], 600.0)) * chances[at[right]]
+            ahead[d, rows] = base + np.log(now)
+        return ahead[length, first[length, np.arange(n)]]
+
+    def chance(self, pieces: tuple) -> np.ndarray:
+        return np.prod([self.chances[k] if k is not None else np.full(len(self.languages), 1e-9) for k in pieces], axis=0)
 
     @cached_property
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,7 +125,7 @@ class PieceModel:
         order = np.argsort(hashes)
         seen = np.zeros(1 << 20, bool)
         seen[(hashes * SPREAD) >> SHIFT] = True
-        return hashes[order], np.array(self.chances).reshape(len(self.pieces), -1)[order], seen
+        return hashes[order], self.chances[order], seen
 
 
 def fit_pieces(pieces: list[str], counts: dict[str, dict[str, int]], rounds: int = 3, prior: float = 0.05, inner: dict[str, dict[str, int]] | None = None) -> PieceModel:
@@ -166,7 +168,7 @@ def fit_pieces(pieces: list[str], counts: dict[str, dict[str, int]], rounds: int
             total = sum(found)
             p = [x / total for x in found]
         columns.append(p)
-    return PieceModel(pieces, model.languages, list(zip(*columns, strict=True)))
+    return PieceModel(pieces, model.languages, np.array(columns).reshape(len(columns), size).T.copy())
 
 
 def held_out(doc_id: Column) -> Column:
@@ -174,14 +176,15 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit_language_model(docs: DataFrame, vocabulary: str, per_language: int = 120, languages: int = 512, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> PieceModel:
+def fit_language_model(docs: DataFrame, vocabulary: str, per_language: int = 120, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> PieceModel:
     """Fit on a bounded sample of labelled documents that are not held out.
 
-    The sample has about ``per_language`` documents of each of the ``languages`` most frequent labels, those with the
-    smallest hashes of id and text; of them only word counts reach the driver. All labels are counted.
+    The sample has about ``per_language`` documents of each label, those with the smallest hashes of id and text; of them
+    only word counts reach the driver. All labels are learned; they are classes, so their number does not grow with the
+    table.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    sizes = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    sizes = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy("lang").collect()
     if not sizes:
         return fit_pieces(read_pieces(vocabulary), {})
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r.lang, min(1.0, per_language / r["count"]))))
@@ -209,12 +212,36 @@ def predict_language(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = PieceModel(*shared.value)
-        table, known = np.zeros((WORDS, len(own.languages))), {}
-        def learn(words: set[str]) -> None:
-            new = sorted(words.difference(known))
-            for w, row in zip(new, own.score(new) if new else (), strict=True):
-                table[len(known)] = row
-                known[w] = len(known)
+        room = max(1024, SCORES // (8 * max(1, len(own.languages))))
+        table, known, letters = np.zeros((room, len(own.languages))), {}, 0
+
+        def learn(words: list[str]) -> None:
+            nonlocal letters
+            for k, (w, row) in enumerate(zip(words, own.score(words), strict=True), len(known)):
+                table[k] = row
+                known[w] = k
+                letters += len(w)
+
+        def total(words: list[str]) -> np.ndarray:
+            """The sum of the words' scores; what is learned at once fits the table, whatever the text's length."""
+            nonlocal letters
+            out = np.zeros(len(own.languages))
+            lo = 0
+            while lo < len(words):
+                hi, size = lo, 0
+                while hi < len(words) and hi - lo < room and size < LETTERS:
+                    size += len(words[hi])
+                    hi += 1
+                new = sorted(set(words[lo:hi]).difference(known))
+                if len(known) + len(new) > room or letters > LETTERS:
+                    known.clear()
+                    letters = 0
+                    new = sorted(set(words[lo:hi]))
+                if new:
+                    learn(new)
+                out += table[list(map(known.__getitem__, words[lo:hi]))].sum(axis=0)
+                lo = hi
+            return out
 
         for batch in batches:
             for lo in range(0, len(batch), 512):
@@ -222,23 +249,14 @@ def predict_language(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
                 texts = batch.column(0).slice(lo, 512).to_pylist()
                 usable = [t is not None and bool(own.languages) and LETTER(t) is not None for t in texts]
                 split = [t.lower().split() if u else [] for t, u in zip(texts, usable, strict=True)]
-                every = set().union(*split)
-                if len(known) + len(every) > WORDS:
-                    known.clear()
-                at_once = len(every) <= WORDS
-                if at_once:
-                    learn(every)
+                every = set().union(*split).difference(known)
+                if len(known) + len(every) <= room and sum(map(len, every)) + letters <= LETTERS:
+                    learn(sorted(every))  # all at once
                 for words, u in zip(split, usable, strict=True):
-                    total = np.zeros(len(own.languages))
-                    for k in range(0, len(words), WORDS):
-                        part = words[k : k + WORDS]
-                        if not at_once:
-                            known.clear()
-                            learn(set(part))
-                        total += table[list(map(known.__getitem__, part))].sum(axis=0)
-                    best = int(total.argmax()) if u else 0
+                    sums = total(words)
+                    best = int(sums.argmax()) if u else 0
                     lang.append(own.languages[best] if u else "und")
-                    score.append(float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum()) if u else 0.0)
+                    score.append(float(1.0 / np.exp(np.maximum(sums - sums[best], -700.0)).sum()) if u else 0.0)
                 rest = [c.slice(lo, 512) for c in batch.columns[1:]]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*others, *names])
 
