@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,8 +22,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = "\"'()[]{}<>.,;:!?*#$%&|"
-#: Pairs that a worker counts before it hands them on.
-PAIRS = 200_000
+#: Entries, and characters of their terms, that a worker counts before it hands them on.
+ENTRIES = 200_000
+LETTERS = 16 << 20
 
 
 def _luhn(digits: str) -> bool:
@@ -72,7 +72,7 @@ def _entity(kind: str, value: str) -> int:
 
 def _term(word: str) -> str:
     term = word.strip(EDGES).lower()
-    return term if len(term) > 1 and len(term) <= 64 else ""
+    return term if len(term) > 1 else ""
 
 
 def _terms(text: str) -> Iterator[tuple[int, int, str]]:
@@ -134,10 +134,13 @@ def _pair_counts(docs: DataFrame, text_col: str, entities: DataFrame) -> DataFra
     def counts(only: frozenset[int]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: Counter = Counter()
+            letters = 0
 
             def flush() -> pa.RecordBatch:
+                nonlocal letters
                 out = [[e for e, _ in found], [t for _, t in found], list(found.values())]
                 found.clear()
+                letters = 0
                 return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], ["e", "t", "n"])
 
             for batch in batches:
@@ -147,7 +150,8 @@ def _pair_counts(docs: DataFrame, text_col: str, entities: DataFrame) -> DataFra
                     terms = {t for _, _, t in _terms(text)} if own else ()
                     for e in own:
                         found.update((e, t) for t in terms)
-                        if len(found) > PAIRS:
+                        letters += sum(map(len, terms))
+                        if len(found) > ENTRIES or letters > LETTERS:
                             yield flush()
             yield flush()
 
@@ -164,14 +168,26 @@ def _term_counts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame
     only = frozenset(r.t for r in wanted.collect()) if wanted.count() <= BROADCAST_ROWS else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        letters = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal letters
+            found.pop("", None)
+            out = [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
+            found.clear()
+            letters = 0
+            return pa.RecordBatch.from_arrays(out, ["t", "n"])
+
         for batch in batches:
-            for lo in range(0, len(batch), 2048):
-                found: Counter = Counter()
-                for text in batch.column(0).slice(lo, 2048):
-                    words = {_term(w) for w in set(WORD.findall(text.as_py() or ""))}
-                    found.update(words if only is None else words & only)
-                found.pop("", None)
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["t", "n"])
+            for text in batch.column(0):
+                words = {_term(w) for w in set(WORD.findall(text.as_py() or ""))}
+                words = words if only is None else words & only
+                letters += sum(len(w) for w in words if w not in found)
+                found.update(words)
+                if len(found) > ENTRIES or letters > LETTERS:
+                    yield flush()
+        yield flush()
 
     counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
     return counts if only is not None else counts.join(wanted, "t", "left_semi")
@@ -282,8 +298,3 @@ def sanitised_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1])
 
     return rows.select(*docs.columns, "pii_spans_").mapInArrow(run, docs.schema)
-
-
-def digest(base: str) -> str:
-    """The base_sha256 of a base string."""
-    return hashlib.sha256(base.encode()).hexdigest()
