@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest number of rows that ``hinted`` lets Spark broadcast.
+#: Largest table that ``hinted`` lets Spark broadcast.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,12 +46,14 @@ def discard(*tables: DataFrame) -> None:
 
 
 def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, with a broadcast hint if a count shows that it has no more than ``rows`` rows.
+    """``df``, with a broadcast hint if it has no more than ``rows`` rows and ``BROADCAST_BYTES`` bytes in its strings.
 
     Larger tables are returned as they are, so that the join shuffles. Pass tables that are cheap to count
-    (materialized or aggregated ones) with short rows.
+    (materialized or aggregated ones).
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    strings = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    n, *sizes = df.limit(rows + 1).agg(F.count("*"), *strings).first()
+    return F.broadcast(df) if n <= rows and sum(x or 0 for x in sizes) <= BROADCAST_BYTES else df
 
 
 def null_safe(left: DataFrame, right: DataFrame, *names: str) -> Column:
