@@ -8,16 +8,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, FloatType
 
 from scholion.llm.components import connected_components
 from scholion.session import hinted, materialize
 
 #: Vectors a cell should hold; a label with fewer is one cell.
 CELL = 2_000
-#: Most pivots over all labels, so that they can be broadcast (times the dimension, 8 bytes each).
+#: Most pivots over all labels, and most bytes of them, so that they can be broadcast.
 PIVOTS = 4_096
+PIVOT_BYTES = 16 << 20
 #: Vectors of one side that a task compares at once; larger cells are cut into block pairs.
 BLOCK = 4_096
 
@@ -39,18 +41,23 @@ def _unit(rows: list) -> np.ndarray:
 
 
 def _pivots(classes: DataFrame) -> dict[tuple, np.ndarray]:
-    """Pivots of each (label, dimension) with more than CELL vectors: those with the smallest hashes."""
+    """Pivots of each (label, dimension) with more than a cell of vectors: those with the smallest hashes.
+
+    A cell holds ``CELL`` vectors, or more, so that all labels together have no more than about ``PIVOTS`` pivots.
+    """
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    total = classes.count()
-    cell = max(CELL, total // PIVOTS + 1)
+    total, dim = classes.agg(F.count("*"), F.max("dim")).first()
+    cell = max(CELL, total // max(64, min(PIVOTS, PIVOT_BYTES // (8 * (dim or 1)))) + 1)
     large = sizes.where(F.col("n") > cell).withColumn("k", F.ceil(F.col("n") / cell))
     rank = F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(1 << 30))
     some = classes.join(hinted(large), ["label", "dim"]).where(rank < (F.lit(float(1 << 30)) * (F.col("k") + 3 * F.sqrt("k") + 3) / F.col("n")))
     found: dict[tuple, list] = {}
-    for r in some.select("label", "dim", "k", "embedding", rank.alias("rank")).orderBy("rank").limit(4 * PIVOTS).collect():
-        kept = found.setdefault((r.label, r.dim), [])
-        if len(kept) < r.k:
-            kept.append(r.embedding)
+    # fewer than total / cell labels are large, and each gives a few vectors more than its k
+    for batch in some.select("label", "dim", "k", "embedding", rank.alias("rank")).orderBy("rank").toArrow().to_batches():
+        for i, (label, dim, k) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+            kept = found.setdefault((label, dim), [])
+            if len(kept) < k:
+                kept.append(np.array(batch.column(3)[i].values))
     return {k: _unit(v) for k, v in found.items()}
 
 
@@ -58,14 +65,17 @@ def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ p.T)))
 
 
-def _placed(classes: DataFrame, pivots: dict[tuple, np.ndarray], radius: float, label_type: str, reach: dict | None) -> DataFrame:
-    """Without reach: (label, dim, cell, r), the radius of each home cell. With it: a row per vector and cell that must see it."""
+def _placed(classes: DataFrame, pivots: dict[tuple, np.ndarray], radius: float, reach: dict | None) -> DataFrame:
+    """Without reach: (label, dim, cell, r), the radius of each home cell of the labels with pivots. With it: a row per
+    vector and cell that must see it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pdf = batch.to_pandas()
             for (label, dim), g in pdf.groupby(["label", "dim"], sort=False):
                 p = pivots.get((label, dim))
+                if p is None and reach is None:
+                    continue
                 if p is None:
                     cell, home, at = np.zeros(len(g), np.int64), np.ones(len(g), bool), np.arange(len(g))
                     near = np.zeros(len(g))
@@ -89,14 +99,21 @@ def _placed(classes: DataFrame, pivots: dict[tuple, np.ndarray], radius: float,
                     out = g.iloc[at].assign(cell=cell, home=home)
                     yield pa.RecordBatch.from_pandas(out[["label", "dim", "cell", "home", "node", "copies", "embedding"]], schema=full, preserve_index=False)
 
-    kind = {"int": pa.int32(), "bigint": pa.int64(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}[label_type]
-    small = pa.schema([("label", kind), ("dim", pa.int32()), ("cell", pa.int64()), ("r", pa.float64())])
-    full = pa.schema([("label", kind), ("dim", pa.int32()), ("cell", pa.int64()), ("home", pa.bool_()), ("node", pa.int64()), ("copies", pa.int64()), ("embedding", pa.list_(pa.float64()))])
+    small = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("cell", pa.int64()), ("r", pa.float64())])
+    full = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("cell", pa.int64()), ("home", pa.bool_()), ("node", pa.int64()), ("copies", pa.int64()), ("embedding", pa.list_(pa.float64()))])
     source = classes.select("label", "dim", "node", "copies", "embedding")
-    ddl = f"label {label_type}, dim int, cell long, " + ("r double" if reach is None else "home boolean, node long, copies long, embedding array<double>")
+    ddl = "label string, dim int, cell long, " + ("r double" if reach is None else "home boolean, node long, copies long, embedding array<double>")
     return source.mapInArrow(run, ddl)
 
 
+def _label(vectors: DataFrame, label_col: str) -> Column:
+    """The label as text, equal where labels of its type are equal."""
+    label, kind = F.col(label_col), vectors.schema[label_col].dataType
+    if isinstance(kind, (FloatType, DoubleType)):
+        label = label + F.lit(0.0)  # makes -0.0 and 0.0 the same
+    return label.cast("string") if not isinstance(kind, BinaryType) else F.hex(label)
+
+
 def _block_links(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Links from the home vectors of one block to the vectors of another: degrees, and a forest of the links."""
@@ -143,10 +160,9 @@ def vector_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     cut into pairs of blocks, each a task of its own, so a hot label costs more tasks, not a larger one.
 
     Links with nothing: vectors that are null, empty, zero or hold null or non-finite components, null labels.
-    Vectors of different dimensions never link. Repeated rows count as so many vectors; extra columns are ignored.
+    Vectors of different dimensions never link. Labels may have any type. Repeated rows count as so many vectors; extra columns are ignored.
     """
-    label_type = vectors.schema[label_col].dataType.simpleString()
-    v = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    v = vectors.select(F.col(id_col).alias("vec_id"), _label(vectors, label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
     # x + 0.0 makes -0.0 and 0.0 the same; non-finite components differ from themselves minus themselves
     good = F.expr("label is not null and size(embedding) > 0 and forall(embedding, x -> coalesce(x - x = 0.0, false)) and exists(embedding, x -> x <> 0.0)")
     v = v.withColumn("embedding", F.when(F.coalesce(good, F.lit(False)), F.expr("transform(embedding, x -> x + 0.0D)")))
@@ -159,9 +175,9 @@ def vector_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     pivots = _pivots(classes)
     near = {}
     if pivots:
-        for r in _placed(classes, pivots, radius, label_type, None).groupBy("label", "dim", "cell").agg(F.max("r").alias("r")).collect():
+        for r in _placed(classes, pivots, radius, None).groupBy("label", "dim", "cell").agg(F.max("r").alias("r")).collect():
             near[r.label, r.dim, r.cell] = r.r
-    placed = materialize(_placed(classes, pivots, radius, label_type, near), "cells")
+    placed = materialize(_placed(classes, pivots, radius, near), "cells")
     blocks = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = placed.join(hinted(blocks), ["label", "dim", "cell"]).withColumn("block", F.pmod(F.hash(F.lit(3), "node"), "blocks"))
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

@@ -76,16 +76,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: i
     return placed.select("doc_id", "source", "key", "size", "source_size", "target", taken.alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, seed: int = 17, **options: object) -> DataFrame:
-    """The mix itself: the columns of ``docs``, a row for each whole copy, and at the cut the document's first words."""
-    plan = mix_sources(docs, seed=seed, **options).where("taken > 0")
+def mixed_documents(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row for each whole copy, and at the cut the document's first words.
+
+    Rows with equal ids and texts share what they take together; each gets the same part of it, rounded up to a word.
+    """
+    plan = mix_sources(docs, seed=seed, id_col=id_col, text_col=text_col, **options).where("taken > 0")
     plan = plan.groupBy(F.col("doc_id").alias("mix_id_"), F.col("key").alias("mix_key_")).agg(F.count("*").alias("rows"), F.max("size").alias("mix_size_"), F.sum("taken").alias("taken"))
-    # repeated rows share what their group takes, so that each row of a group is given the same part of it
     plan = plan.select("mix_id_", "mix_key_", "mix_size_", F.expr("cast(ceil(taken / rows) as long)").alias("mix_taken_"))
-    keyed = docs.withColumn("mix_own_", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
-    rows = keyed.join(plan, (F.col("doc_id").eqNullSafe(F.col("mix_id_"))) & (F.col("mix_own_") == F.col("mix_key_")))
+    keyed = docs.withColumn("mix_own_", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
+    rows = keyed.join(plan, (F.col(id_col).eqNullSafe(F.col("mix_id_"))) & (F.col("mix_own_") == F.col("mix_key_")))
     copies = "transform(sequence(0, cast((mix_taken_ - 1) div mix_size_ as int)), i -> cast(least(mix_size_, mix_taken_ - i * mix_size_) as int))"
     rows = rows.withColumn("mix_words_", F.explode(F.expr(copies)))
-    pieces = F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0))
-    text = F.when(F.col("mix_words_") < F.col("mix_size_"), F.array_join(F.slice(pieces, 1, F.col("mix_words_")), "")).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(*docs.columns)
+    pieces = F.regexp_extract_all(text_col, F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0))
+    text = F.when(F.col("mix_words_") < F.col("mix_size_"), F.array_join(F.slice(pieces, 1, F.col("mix_words_")), "")).otherwise(F.col(text_col))
+    return rows.withColumn(text_col, text).select(*docs.columns)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholion.session import BROADCAST_ROWS, hinted, materialize
+from scholion.session import BROADCAST_ROWS, discard, hinted, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -204,11 +204,14 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text",
     # n_et <= n_e, so rarer entities have no pair with the support
     entities = materialize(entities.where((F.col("n_e") >= support) & (F.col("n_e") < total)), "frequent")
     pairs = materialize(_pair_counts(docs, text_col, entities).where(F.col("n_et") >= support), "pairs")
-    terms = materialize(_term_counts(docs, text_col, materialize(pairs.select("t").distinct(), "terms")), "terms")
+    wanted = materialize(pairs.select("t").distinct(), "wanted")
+    terms = materialize(_term_counts(docs, text_col, wanted), "terms")
     joined = pairs.join(hinted(terms), "t").join(hinted(entities), "e")
     # a term's places in documents with an entity are found with the same rules as its occurrences, so n_et <= n_t
     ratio = 1 - F.log(F.least(F.lit(1.0), F.col("n_et") / F.col("n_t"))) / F.log(F.col("n_e") / F.lit(float(max(total, 1))))
-    return joined.select("e", "t", ratio.alias("ratio")).where(F.col("ratio") >= disclosure)
+    out = materialize(joined.select("e", "t", ratio.alias("ratio")).where(F.col("ratio") >= disclosure), "disclosing")
+    discard(entities, pairs, wanted, terms)
+    return out
 
 
 def _marks(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, everywhere: bool) -> DataFrame:
@@ -254,7 +257,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common entity or term is a partial aggregate.
     """
     found = materialize(find_entities(docs, id_col, text_col), "entities")
-    terms = materialize(disclosing_terms(docs, found, text_col, disclosure, support), "disclosing")
+    terms = disclosing_terms(docs, found, text_col, disclosure, support)
     spans = _marks(docs, id_col, text_col, terms, everywhere).groupBy("x", "y", "a", "b").agg(F.max("ratio").alias("ratio"))
     spans = spans.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("a", "b", "ratio"))).alias("terms"))
     text = F.transform("terms", lambda s: F.concat_ws(":", F.when(s["ratio"] >= remove, "gone").otherwise("term"), s["a"], s["b"]))
