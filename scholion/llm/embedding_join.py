@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, FloatType
 
 from scholion.llm.components import connected_components
+from scholion.llm.workers import lean
 from scholion.session import hinted, materialize
 
 #: Vectors a cell should hold; a label with fewer is one cell.
@@ -103,7 +104,7 @@ def _placed(classes: DataFrame, pivots: dict[tuple, np.ndarray], radius: float,
     full = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("cell", pa.int64()), ("home", pa.bool_()), ("node", pa.int64()), ("copies", pa.int64()), ("embedding", pa.list_(pa.float64()))])
     source = classes.select("label", "dim", "node", "copies", "embedding")
     ddl = "label string, dim int, cell long, " + ("r double" if reach is None else "home boolean, node long, copies long, embedding array<double>")
-    return source.mapInArrow(run, ddl)
+    return source.mapInArrow(lean(run), ddl)
 
 
 def _label(vectors: DataFrame, label_col: str) -> Column:

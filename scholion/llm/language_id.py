@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholion.llm.bytesets import powers
+from scholion.llm.workers import lean
 
 LETTER = regex.compile(r"\p{L}").search
 #: Characters of a word that are segmented together; longer words are cut into blocks of so many.
@@ -263,4 +264,4 @@ def predict_language(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
     others = ["doc_id", *(keep or [])]
     rows = docs.select(F.col(text_col), F.col(id_col).alias("doc_id"), *(keep or []))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]) + f", {names[0]} string, {names[1]} double"
-    return rows.mapInArrow(run, ddl)
+    return rows.mapInArrow(lean(run), ddl)

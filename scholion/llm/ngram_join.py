@@ -7,20 +7,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholion.llm.bytesets import mix, shingle_sets
 from scholion.llm.components import connected_components
+from scholion.llm.workers import lean
 from scholion.session import discard, hinted, materialize
 
 #: Most class ids that are handed to the Python workers as one array (16 MB); beyond it a join filters.
 SENT = 2_000_000
 #: Class ids that a task remembers, so that it sends the fragments of copies once.
 SEEN = 100_000
-#: Partners that one task compares with a class.
-PART = 2_000
-#: Longs of a class's parity sketch.
+#: N-grams of the sets that a task holds at once, twice: of two blocks of a cluster.
+BLOCK = 500_000
+#: Classes that agree on a fragment and are held to name their group; more of them are a group by the fragment's key.
+GROUP = 100_000
+#: Longs of the parity sketch that every class has; larger classes have one with a bit or more for each n-gram too.
 SKETCH = 8
 #: Growth of the sizes that share one cut into fragments.
 GROWTH = 1.5
@@ -106,21 +109,35 @@ def _names(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
+def _sketches(values: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Parities of each set's hashes by places: ``SKETCH`` longs, and a power of two of longs with at least a bit for each
+    n-gram (none, if the first has). The first is the second folded, by exclusive or, to its length."""
+    n = np.diff(bounds)
+    longs = 1 << np.ceil(np.log2(np.maximum(n / 64, SKETCH))).astype(np.int64)
+    row, u = np.repeat(np.arange(len(n)), n), values.view(np.uint64)
+    edges = np.concatenate([[0], np.cumsum(longs)])
+    flips = np.zeros(edges[-1], np.uint64)
+    np.bitwise_xor.at(flips, edges[row] + ((u >> np.uint64(6)).astype(np.int64) & (longs[row] - 1)), np.uint64(1) << (u & np.uint64(63)))
+    owner = np.repeat(np.arange(len(n)), longs)
+    small = np.zeros((len(n), SKETCH), np.uint64)
+    np.bitwise_xor.at(small, (owner, (np.arange(edges[-1]) - edges[owner]) % SKETCH), flips)
+    large = longs > SKETCH
+    ends = np.concatenate([[0], np.cumsum(np.where(large, longs, 0))])
+    lists = lambda e, x: pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(x.view(np.int64)))
+    return lists(np.arange(len(n) + 1) * SKETCH, small.ravel()), lists(ends, flips[large[owner]])
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(doc_id, n, node, sketch): the set's size, its fingerprint, and the parities of its hashes by 512 places."""
+    """(doc_id, n, node, small, sketch): the set's size, its fingerprint, and its two parity sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, values, bounds in shingle_sets(batch.column(1), size):
                 n = np.diff(bounds)
-                u = values.view(np.uint64)
-                flips = np.zeros((len(n), SKETCH), np.uint64)
-                np.bitwise_xor.at(flips, (np.repeat(np.arange(len(n)), n), (u >> np.uint64(6)) % np.uint64(SKETCH)), np.uint64(1) << (u & np.uint64(63)))
-                sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * SKETCH, pa.int32()), pa.array(flips.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(n)), pa.array(n, pa.int64()), pa.array(_names(values, bounds), mask=n == 0), sketch], ["doc_id", "n", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(n)), pa.array(n, pa.int64()), pa.array(_names(values, bounds), mask=n == 0), *_sketches(values, bounds)], ["doc_id", "n", "node", "small", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, node long, sketch array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, n long, node long, small array<long>, sketch array<long>")
 
 
 def _fragments(docs: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
@@ -145,44 +162,81 @@ def _fragments(docs: DataFrame, text_col: str, size: int, percent: int) -> DataF
                 at = np.flatnonzero(fresh)[row]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[at]), pa.array(n[at].astype(np.int32))], ["h", "node", "n"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "h long, node long, n int")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "h long, node long, n int")
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, node, n) sorted by h and node: those whose key occurs with two nodes or more, and the first of them as hub."""
-    names = ["h", "node", "n", "hub"]
-    last = hub = None  # the last row; the hub of its key if that has met a second node
-    for batch in batches:
-        if not len(batch):
-            continue
-        h, node, n = (c.to_numpy() for c in batch.columns)
-        if last is not None:
-            h, node, n = (np.concatenate([[x], y]) for x, y in zip(last, (h, node, n), strict=True))
-        keep = np.ones(len(h), bool)
-        keep[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-        h, node, n = h[keep], node[keep], n[keep]
+    """Rows (h, node, n) sorted by h and node become (g, node, n, hub): the groups of two nodes or more with one key.
+
+    g is a hash of the group's nodes, so that the many fragments that the same nodes agree on are one group in the end
+    (should two groups share a hash, they are one larger group, which does no harm); hub is the first node.
+    """
+    names = ["g", "node", "n", "hub"]
+
+    def out(g: np.ndarray, node: np.ndarray, n: np.ndarray, hub: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(hub)], names)
+
+    def grouped(h: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         begin = np.flatnonzero(new)
         many = np.diff(np.append(begin, len(h)))
-        hubs = np.repeat(node[begin], many)
-        out = np.repeat(many > 1, many)
-        if hub is not None:  # the first row is out already, and what follows with its key belongs to its hub
-            hubs[: many[0]] = hub
-            out[0] = False
-        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (h, node, n.astype(np.int32), hubs)], names)
-        hub = int(hubs[-1]) if many[-1] > 1 or (hub is not None and len(begin) == 1) else None
-        last = (h[-1], node[-1], n[-1])
+        g = mix(np.add.reduceat(mix(node.view(np.uint64)), begin) + many.astype(np.uint64)).view(np.int64) if len(begin) else h
+        once = np.zeros(len(g), bool)
+        once[np.unique(g, return_index=True)[1]] = True
+        keep = np.repeat((many > 1) & once, many)
+        return out(np.repeat(g, many)[keep], node[keep], n[keep], np.repeat(node[begin], many)[keep])
+
+    rows, hub = [np.zeros(0, np.int64)] * 3, None  # the last key's rows; its hub, if it is large and its rows are out
+    for batch in batches:
+        rows = [np.concatenate([x, c.to_numpy()]) for x, c in zip(rows, batch.columns, strict=True)]
+        h, node, _ = rows
+        keep = np.ones(len(h), bool)
+        keep[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
+        rows = [x[keep] for x in rows]
+        if not len(rows[0]):
+            continue
+        if hub is not None:
+            end = int(np.searchsorted(rows[0], rows[0][0], "right"))
+            yield out(*(x[1:end] for x in rows), np.full(end - 1, hub))
+            if end == len(rows[0]):
+                rows = [x[-1:] for x in rows]
+                continue
+            rows, hub = [x[end:] for x in rows], None
+        last = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+        yield grouped(*(x[:last] for x in rows))
+        rows = [x[last:] for x in rows]
+        if len(rows[0]) > GROUP:
+            hub = rows[1][0]
+            yield out(*rows, np.full(len(rows[0]), hub))
+            rows = [x[-1:] for x in rows]
+    if hub is None:
+        yield grouped(*rows)
+
+
+def _differ(left: Column, right: Column) -> Column:
+    """Places in which two parity sketches of one length differ."""
+    return F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sketches allow the threshold: the parities of two sets differ in no more places than the sets do in n-grams."""
-    left = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("left"))
-    right = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("right"))
-    differ = F.aggregate(F.zip_with("left", "right", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    # at least this many n-grams are in one set only, so at most (n_a + n_b - differ) / 2 are in both
-    rows = pairs.join(left, "a").join(right, "b").withColumn("differ", differ)
-    return rows.where(F.expr(f"100 * (n_a + n_b - differ) >= {percent} * (n_a + n_b + differ)")).select("a", "b", "n_a", "n_b")
+    # at least ``differ`` n-grams are in one set only, so at most (n_a + n_b - differ) / 2 are in both
+    allowed = f"100 * (n_a + n_b - differ) >= {percent} * (n_a + n_b + differ)"
+
+    def tried(rows: DataFrame, column: str, halvings: int) -> DataFrame:
+        for x, name in (("a", "left"), ("b", "right")):
+            rows = rows.join(sketches.select(F.col("node").alias(x), F.col(column).alias(name)), x)
+        for _ in range(halvings):  # the longer sketch, folded to the length of the other one
+            for x, y in (("left", "right"), ("right", "left")):
+                half = F.expr(f"transform(sequence(0, size({x}) div 2 - 1), i -> {x}[i] ^ {x}[i + size({x}) div 2])")
+                rows = rows.withColumn(x, F.when(F.size(x) > F.size(y), half).otherwise(F.col(x)))
+        return rows.withColumn("differ", _differ(F.col("left"), F.col("right"))).where(allowed).select("a", "b", "n_a", "n_b")
+
+    some = tried(pairs, "small", 0)
+    large = f"least(n_a, n_b) > {64 * SKETCH}"
+    # sizes differ by 100 / percent at most, and the lengths by a halving more
+    return some.where(f"not ({large})").union(tried(some.where(large), "sketch", (100 // percent).bit_length()))
 
 
 def _texts(docs: DataFrame, text_col: str, size: int, wanted: DataFrame) -> DataFrame:
@@ -204,7 +258,7 @@ def _texts(docs: DataFrame, text_col: str, size: int, wanted: DataFrame) -> Data
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(node[rows]), batch.column(0).take(pa.array(rows, pa.int64()) if not rows else pa.array(np.array(rows) + lo))], ["node", "text"])
 
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, text string")
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "node long, text string")
     if only is None:
         found = found.join(wanted, "node", "left_semi")
     return found.groupBy("node").agg(F.first("text").alias("text"))
@@ -212,42 +266,53 @@ def _texts(docs: DataFrame, text_col: str, size: int, wanted: DataFrame) -> Data
 
 def _overlaps(size: int, fragments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (hub, part, node, text) sorted by hub and part, the hub's own first, become (a, b, overlaps), an overlap for each fragment."""
-        hub, whole = None, np.zeros(0, np.int64)
+        """Rows (component, i, j, a, b, n_a, n_b, text) sorted by the first three and b: the texts of two blocks, b null,
+        then their pairs, which become (a, b, n_a, n_b, overlaps), an overlap for each fragment."""
+        here, sets = None, {}
         for batch in batches:
-            hubs, nodes = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            for lo, values, bounds in shingle_sets(batch.column(3), size):
-                out = []
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            a, b = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for lo, values, bounds in shingle_sets(batch.column(7), size):
+                found, at = [], []
                 for k in range(len(bounds) - 1):
-                    own = values[bounds[k] : bounds[k + 1]]
-                    if hubs[lo + k] == nodes[lo + k]:
-                        hub, whole = hubs[lo + k], own
+                    r = lo + k
+                    if keys[r] != here:
+                        here, sets = keys[r], {}
+                    if b[r] is None:
+                        sets[a[r]] = values[bounds[k] : bounds[k + 1]].copy()
                         continue
-                    assert hubs[lo + k] == hub
-                    both = own[whole[np.minimum(np.searchsorted(whole, own), len(whole) - 1)] == own]
+                    x, y = sorted((sets[a[r]], sets[b[r]]), key=len)
+                    both = x[y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x]
                     f = ((both.view(np.uint64) ^ SIGN) >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
-                    out.append((hub, nodes[lo + k], np.bincount(f.astype(np.int64), minlength=fragments)))
-                cols = list(zip(*out, strict=True)) or [[]] * 3
-                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["a", "b", "overlaps"])
+                    found.append(np.bincount(f.astype(np.int64), minlength=fragments))
+                    at.append(r)
+                if at:
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in range(3, 7)), pa.array(found, pa.list_(pa.int64()))], ["a", "b", "n_a", "n_b", "overlaps"])
 
     return run
 
 
 def _verified(docs: DataFrame, text_col: str, size: int, percent: int, fragments: int, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) whose partial overlaps, counted per fragment and summed, reach the threshold: (a, b, overlap)."""
+    """Pairs (a, b, n_a, n_b) whose partial overlaps, counted per fragment and summed, reach the threshold: (a, b, overlap).
+
+    The pairs' clusters are the components of the pairs; a text goes to its cluster's task once. A cluster of more than
+    ``BLOCK`` n-grams is cut into blocks, and each two of them that have a pair are a task.
+    """
     pairs = materialize(_possible(pairs, sketches, percent), "possible")
-    nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "candidates")
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    asks = pairs.select("a", "b").join(parts, "a").select(F.col("b").alias("node"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
-    asks = asks.union(parts.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
-    met = _texts(docs, text_col, size, nodes).join(asks, "node").select("hub", "part", "node", "text", (F.col("node") != F.col("hub")).alias("other"))
-    met = met.repartition("hub", "part").sortWithinPartitions("hub", "part", "other").select("hub", "part", "node", "text")
-    partial = met.mapInArrow(_overlaps(size, fragments), "a long, b long, overlaps array<long>")
-    sums = partial.select("a", "b", F.aggregate("overlaps", F.lit(0).cast("long"), lambda s, x: s + x).alias("overlap"))
-    links = pairs.join(sums, ["a", "b"]).where(F.expr(f"100 * overlap >= {percent} * (n_a + n_b - overlap)")).select("a", "b", "overlap")
-    links = materialize(links, "links")
-    discard(nodes, pairs)
+    clusters = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    nodes = pairs.select(F.col("a").alias("node"), F.col("n_a").alias("n")).union(pairs.select("b", "n_b")).distinct().join(clusters, "node")
+    blocks = nodes.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    nodes = materialize(nodes.join(blocks, "component").select("node", "component", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")), "candidates")
+    tasks = pairs.join(nodes.select(F.col("node").alias("a"), "component", F.col("block").alias("i")), "a").join(nodes.select(F.col("node").alias("b"), F.col("block").alias("j")), "b")
+    tasks = materialize(tasks.select("component", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "a", "b", "n_a", "n_b"), "tasks")
+    asks = tasks.select("component", "i", "j", F.col("a").alias("node")).union(tasks.select("component", "i", "j", "b")).distinct()
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("b", "long"), ("n_a", "int"), ("n_b", "int"))]
+    texts = _texts(docs, text_col, size, nodes.select("node")).join(asks, "node").select("component", "i", "j", F.col("node").alias("a"), *none, "text")
+    met = texts.union(tasks.select("*", F.lit(None).cast("string"))).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "b")
+    partial = met.mapInArrow(lean(_overlaps(size, fragments)), "a long, b long, n_a int, n_b int, overlaps array<long>")
+    sums = partial.withColumn("overlap", F.aggregate("overlaps", F.lit(0).cast("long"), lambda s, x: s + x))
+    links = materialize(sums.where(F.expr(f"100 * overlap >= {percent} * (n_a + n_b - overlap)")).select("a", "b", "overlap"), "links")
+    discard(nodes, tasks, pairs)
     return links
 
 
@@ -263,8 +328,8 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
        different components after that is paired in full, within the length bound and the bound of the parity sketches;
        fragments all of whose classes are in one component are done. So a group of near copies costs a linear number of
        pairs.
-    4. A pair's overlap is counted on each of ``fragments`` parts of the order by itself and summed. A class with many
-       partners is compared in several tasks.
+    4. A pair's overlap is counted on each of ``fragments`` parts of the order by itself and summed, in tasks of a cluster
+       of pairs each, or of two blocks of a large one.
 
     Letters A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; a text with fewer than ``size`` words is one n-gram;
     texts that are null or without words have an empty set, which links with nothing. Repeated rows and repeated or
@@ -272,9 +337,9 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     sets = materialize(_sets(docs, id_col, text_col, size), "sets")
     members = sets.select("doc_id", F.col("n").alias("n_shingles"), "node")
-    sketches = materialize(sets.where("n > 0").groupBy("node").agg(F.first("sketch").alias("sketch")), "sketches")
+    sketches = materialize(sets.where("n > 0").groupBy("node").agg(F.first("small").alias("small"), F.first("sketch").alias("sketch")), "sketches")
     met = _fragments(docs, text_col, size, percent).repartition("h").sortWithinPartitions("h", "node")
-    shared = materialize(met.mapInArrow(_met, "h long, node long, n int, hub long"), "shared")
+    shared = materialize(met.mapInArrow(lean(_met), "g long, node long, n int, hub long").distinct(), "shared")
 
     sizes = sets.where("n > 0").groupBy(F.col("node").alias("hub")).agg(F.first(F.col("n").cast("int")).alias("n_hub"))
     fits = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
@@ -284,17 +349,17 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     links = _verified(docs, text_col, size, percent, fragments, first, sketches)
     components = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
-    owned = shared.join(components, "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("component"))
+    owned = shared.join(components, "node", "left").select("g", "node", "n", F.coalesce("component", "node").alias("component"))
     owned = materialize(owned, "owned")
-    mixed = owned.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("h")
-    places = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]
-    open_ = owned.join(mixed, "h").join(sketches.select("node", *places), "node")
+    mixed = owned.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("g")
+    places = [F.col("small")[k].alias(f"s{k}") for k in range(SKETCH)]
+    open_ = owned.join(mixed, "g").join(sketches.select("node", *places), "node")
     open_ = materialize(open_, "open")
-    side = lambda x: [F.col("h"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(SKETCH))]
+    side = lambda x: [F.col("g"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(SKETCH))]
     differ = " + ".join(f"bit_count(a{k} ^ b{k})" for k in range(SKETCH))
     # the sketches are compared where the pairs meet, so that pairs they rule out are never rows
     alike = F.expr(f"100 * (n_a + n_b - ({differ})) >= {percent} * (n_a + n_b + ({differ}))")
-    rest = open_.select(side("a")).join(open_.select(side("b")), "h").where(F.expr("a < b and c_a <> c_b") & fits & alike).select("a", "b", "n_a", "n_b").distinct()
+    rest = open_.select(side("a")).join(open_.select(side("b")), "g").where(F.expr("a < b and c_a <> c_b") & fits & alike).select("a", "b", "n_a", "n_b").distinct()
     rest = materialize(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     more = _verified(docs, text_col, size, percent, fragments, rest, sketches)
     links = links.union(more)

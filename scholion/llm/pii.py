@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholion.llm.workers import lean
 from scholion.session import BROADCAST_ROWS, discard, hinted, materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -125,7 +126,7 @@ def find_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("x"), F.xxhash64(F.lit(1), id_col, text_col).alias("y"), F.col(text_col).alias("text"))
     ddl = f"doc_id {kind}, x long, y long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<long>"
-    return rows.mapInArrow(run, ddl)
+    return rows.mapInArrow(lean(run), ddl)
 
 
 def _pair_counts(docs: DataFrame, text_col: str, entities: DataFrame) -> DataFrame:
@@ -155,7 +156,7 @@ def _pair_counts(docs: DataFrame, text_col: str, entities: DataFrame) -> DataFra
                             yield flush()
             yield flush()
 
-        return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "e long, t string, n long")
+        return docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "e long, t string, n long")
 
     out = docs.sparkSession.createDataFrame([], "e long, t string, n long")
     for part in _parts(entities.select("e"), "e"):
@@ -189,7 +190,7 @@ def _term_counts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame
                     yield flush()
         yield flush()
 
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "t string, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
     return counts if only is not None else counts.join(wanted, "t", "left_semi")
 
 
@@ -234,7 +235,7 @@ def _marks(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, everyw
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["x", "y", "a", "b", "ratio"])
 
         rows = docs.select(F.xxhash64(id_col, text_col).alias("x"), F.xxhash64(F.lit(1), id_col, text_col).alias("y"), F.col(text_col).alias("text"))
-        return rows.mapInArrow(run, "x long, y long, a long, b long, ratio double")
+        return rows.mapInArrow(lean(run), "x long, y long, a long, b long, ratio double")
 
     if everywhere:
         terms = terms.groupBy("t").agg(F.max("ratio").alias("ratio")).withColumn("e", F.lit(None).cast("long"))
@@ -300,4 +301,4 @@ def sanitised_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1])
 
-    return rows.select(*docs.columns, "pii_spans_").mapInArrow(run, docs.schema)
+    return rows.select(*docs.columns, "pii_spans_").mapInArrow(lean(run), docs.schema)

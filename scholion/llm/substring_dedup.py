@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from scholion.llm.bytesets import CHUNK, chunks, mix, prefix_sums, span_hashes
+from scholion.llm.workers import lean
 from scholion.session import materialize, null_safe
 
 #: Bytes of segments whose suffixes are sorted at once; a group of segments beyond it is sorted in parts of that size.
@@ -177,7 +178,7 @@ def _anchors(texts: DataFrame, length: int, k: int) -> DataFrame:
         if n:
             yield settled(held)
 
-    return texts.select("d", "text").mapInArrow(run, "key long, segment long, d long, at long")
+    return texts.select("d", "text").mapInArrow(lean(run), "key long, segment long, d long, at long")
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,17 +442,17 @@ def dedup_substrings(docs: DataFrame, length: int = 100, k: int = 24, id_col: st
     texts = _ordered(docs, id_col, text_col)
     anchors = _anchors(texts, length, k)
     met = anchors.repartition(F.shiftright("key", 16)).sortWithinPartitions(F.shiftright("key", 16), "segment", "d", "at")
-    runs = materialize(met.mapInArrow(_opened, "d long, first long, windows long, open long"), "runs")
+    runs = materialize(met.mapInArrow(lean(_opened), "d long, first long, windows long, open long"), "runs")
     open_ = runs.where("open >= 0").groupBy("d").agg(F.collect_list(F.struct("first", "windows", "open")).alias("runs"))
-    segments = texts.join(open_, "d").select("d", "text", "runs").mapInArrow(_cut(length, k), "`group` long, d long, first long, windows long, segment binary")
+    segments = texts.join(open_, "d").select("d", "text", "runs").mapInArrow(lean(_cut(length, k)), "`group` long, d long, first long, windows long, segment binary")
     sorted_ = segments.repartition("group").sortWithinPartitions("group", "d", "first")
-    judged = sorted_.select("group", "d", "first", "windows", "segment").mapInArrow(_repeats(length), "w long, d long, first long, windows long")
+    judged = sorted_.select("group", "d", "first", "windows", "segment").mapInArrow(lean(_repeats(length)), "w long, d long, first long, windows long")
     judged = judged.repartition(F.coalesce("w", F.xxhash64("d", "first"))).sortWithinPartitions("w", "d", "first")
-    removed = judged.mapInArrow(_once, "d long, first long, windows long").union(runs.where("open < 0").select("d", "first", "windows"))
+    removed = judged.mapInArrow(lean(_once), "d long, first long, windows long").union(runs.where("open < 0").select("d", "first", "windows"))
     removed = removed.groupBy("d").agg(F.collect_list(F.struct("first", "windows")).alias("runs"))
     out = texts.join(removed, "d", "left").select("id", "text", "runs")
     kind = docs.schema[id_col].dataType.simpleString()
-    out = out.mapInArrow(lambda batches: _kept(batches, length), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<long>>")
+    out = out.mapInArrow(lean(lambda batches: _kept(batches, length)), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<long>>")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholion.llm.workers import lean
+
 EDGES = "\"'()[]{}<>.,;:!?*#$%&|-_"
 
 
@@ -81,7 +83,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, grade: Column, sample: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], ["id", "grade", "words"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = rows.mapInArrow(run, f"id {kind}, grade int, words array<string>").persist()
+    rows = rows.mapInArrow(lean(run), f"id {kind}, grade int, words array<string>").persist()
     grades = [r.grade for r in rows.select("grade").collect()]
     if len(set(grades)) < 2:
         rows.unpersist()
@@ -125,4 +127,4 @@ def predict_severity(docs: DataFrame, model: OrdinalModel | None, threshold: flo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grade, pa.int32()), pa.array(mean, pa.float64()), pa.array(toxic, pa.bool_())], ["doc_id", "severity", "expected_severity", "toxic"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, severity int, expected_severity double, toxic boolean")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, severity int, expected_severity double, toxic boolean")
