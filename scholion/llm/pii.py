@@ -24,8 +24,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = "\"'()[]{}<>.,;:!?*#$%&|"
 #: Entries, and characters of their terms, that a worker counts before it hands them on.
-ENTRIES = 200_000
-LETTERS = 16 << 20
+ENTRIES = 100_000
+LETTERS = 8 << 20
 
 
 def _luhn(digits: str) -> bool:
