@@ -25,6 +25,8 @@ BLOCK = 500_000
 GROUP = 100_000
 #: Longs of the parity sketch that every class has; larger classes have one with a bit or more for each n-gram too.
 SKETCH = 8
+#: Times that the components are taken anew before what is left between them is paired in full.
+ROUNDS = 2
 #: Growth of the sizes that share one cut into fragments.
 GROWTH = 1.5
 #: Cuts that are tried for a set that leaves too many fragments empty.
@@ -219,8 +221,11 @@ def _differ(left: Column, right: Column) -> Column:
     return F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sketches allow the threshold: the parities of two sets differ in no more places than the sets do in n-grams."""
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int, small: bool) -> DataFrame:
+    """Pairs whose sketches allow the threshold: the parities of two sets differ in no more places than the sets do in n-grams.
+
+    Without ``small`` the pairs have been held against the small sketches before.
+    """
     # at least ``differ`` n-grams are in one set only, so at most (n_a + n_b - differ) / 2 are in both
     allowed = f"100 * (n_a + n_b - differ) >= {percent} * (n_a + n_b + differ)"
 
@@ -233,7 +238,7 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 rows = rows.withColumn(x, F.when(F.size(x) > F.size(y), half).otherwise(F.col(x)))
         return rows.withColumn("differ", _differ(F.col("left"), F.col("right"))).where(allowed).select("a", "b", "n_a", "n_b")
 
-    some = tried(pairs, "small", 0)
+    some = tried(pairs, "small", 0) if small else pairs.select("a", "b", "n_a", "n_b")
     large = f"least(n_a, n_b) > {64 * SKETCH}"
     # sizes differ by 100 / percent at most, and the lengths by a halving more
     return some.where(f"not ({large})").union(tried(some.where(large), "sketch", (100 // percent).bit_length()))
@@ -292,13 +297,13 @@ def _overlaps(size: int, fragments: int):
     return run
 
 
-def _verified(docs: DataFrame, text_col: str, size: int, percent: int, fragments: int, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, text_col: str, size: int, percent: int, fragments: int, pairs: DataFrame, sketches: DataFrame, small: bool = True) -> DataFrame:
     """Pairs (a, b, n_a, n_b) whose partial overlaps, counted per fragment and summed, reach the threshold: (a, b, overlap).
 
     The pairs' clusters are the components of the pairs; a text goes to its cluster's task once. A cluster of more than
     ``BLOCK`` n-grams is cut into blocks, and each two of them that have a pair are a task.
     """
-    pairs = materialize(_possible(pairs, sketches, percent), "possible")
+    pairs = materialize(_possible(pairs, sketches, percent, small), "possible")
     clusters = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     nodes = pairs.select(F.col("a").alias("node"), F.col("n_a").alias("n")).union(pairs.select("b", "n_b")).distinct().join(clusters, "node")
     blocks = nodes.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
@@ -324,8 +329,8 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     2. The global n-gram order is cut into fragments (``FragmentPlan``), each joined by itself: two similar sets agree
        on the whole of one fragment at least. A fragment that holds common n-grams only is shared as a whole or not at
        all, so common passages make no pairs of documents that differ otherwise.
-    3. Classes that agree on a fragment are first paired with one hub class of that fragment. What remains between
-       different components after that is paired in full, within the length bound and the bound of the parity sketches;
+    3. Classes that agree on a fragment are first paired with one hub class of that fragment, then with hubs of other
+       components as long as that links any. What remains between different components after that is paired in full, within the length bound and the bound of the parity sketches;
        fragments all of whose classes are in one component are done. So a group of near copies costs a linear number of
        pairs.
     4. A pair's overlap is counted on each of ``fragments`` parts of the order by itself and summed, in tasks of a cluster
@@ -345,27 +350,40 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     fits = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     pairs = shared.where("node <> hub").select("node", "n", "hub").distinct().join(sizes, "hub")
     pairs = pairs.select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("n_hub").alias("n_a"), F.col("n").alias("n_b"))  # the hub is the smaller name
-    first = materialize(pairs.where(fits), "pairs")
-    links = _verified(docs, text_col, size, percent, fragments, first, sketches)
-    components = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-
-    owned = shared.join(components, "node", "left").select("g", "node", "n", F.coalesce("component", "node").alias("component"))
-    owned = materialize(owned, "owned")
-    mixed = owned.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("g")
+    tried = materialize(pairs.where(fits), "pairs")
+    links = _verified(docs, text_col, size, percent, fragments, tried, sketches)
+    for k in range(ROUNDS):
+        components = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        owned = shared.join(components, "node", "left").select("g", "node", "n", F.coalesce("component", "node").alias("component"))
+        owned = materialize(owned, "owned")
+        by, whole = F.struct("component", "node"), F.struct("component", "node", "n")
+        mixed = owned.groupBy("g").agg(F.min_by(whole, by).alias("x"), F.max_by(whole, by).alias("y")).where("x.component < y.component")
+        open_ = materialize(owned.join(mixed, "g").withColumn("hub", F.expr("if(component = x.component, y, x)")).drop("x", "y"), "open")
+        discard(owned)
+        if k == ROUNDS - 1:
+            break
+        ab = F.expr("if(node < hub.node, named_struct('a', node, 'b', hub.node, 'n_a', n, 'n_b', hub.n), named_struct('a', hub.node, 'b', node, 'n_a', hub.n, 'n_b', n)) as p")
+        new = open_.select(ab).select("p.*").where(fits).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        new = materialize(new.select("a", "b", "n_a", "n_b"), "pairs")
+        more = _verified(docs, text_col, size, percent, fragments, new, sketches)
+        tried, links = tried.union(new), links.union(more)
+        if not more.limit(1).count():
+            break
+        discard(open_)
     places = [F.col("small")[k].alias(f"s{k}") for k in range(SKETCH)]
-    open_ = owned.join(mixed, "g").join(sketches.select("node", *places), "node")
+    open_ = open_.join(sketches.select("node", *places), "node")
     open_ = materialize(open_, "open")
     side = lambda x: [F.col("g"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(SKETCH))]
     differ = " + ".join(f"bit_count(a{k} ^ b{k})" for k in range(SKETCH))
     # the sketches are compared where the pairs meet, so that pairs they rule out are never rows
     alike = F.expr(f"100 * (n_a + n_b - ({differ})) >= {percent} * (n_a + n_b + ({differ}))")
     rest = open_.select(side("a")).join(open_.select(side("b")), "g").where(F.expr("a < b and c_a <> c_b") & fits & alike).select("a", "b", "n_a", "n_b").distinct()
-    rest = materialize(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    more = _verified(docs, text_col, size, percent, fragments, rest, sketches)
+    rest = materialize(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    more = _verified(docs, text_col, size, percent, fragments, rest, sketches, small=False)
     links = links.union(more)
     if more.limit(1).count():
         components = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    discard(shared, owned, open_, first, rest, sketches)
+    discard(shared, open_, rest, sketches)
     return JaccardGroups(members, links, components)
 
 
