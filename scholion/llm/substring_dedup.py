@@ -325,15 +325,25 @@ def _repeats(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (group, d, first)."""
         held, size, parts = [], 0, False  # parts: some rows of the group that the held ones begin with are out
+        last_row = [None] * 3
         for batch in batches:
             if not len(batch):
                 continue
+            same = np.ones(len(batch), bool)  # a repeated row of the input
+            for c in range(3):
+                x = batch.column(c).to_numpy()
+                same[1:] &= x[1:] == x[:-1]
+                same[0] &= last_row[c] == x[0]
+                last_row[c] = x[-1]
+            batch = batch.filter(pa.array(~same))
             held.append(pa.Table.from_batches([batch]))
             size += batch.nbytes
             if size <= SORTED:
                 continue
             rows = pa.concat_tables(held).combine_chunks()
             group = rows.column("group").to_numpy()
+            if not len(group):
+                continue
             last = int(np.searchsorted(group, group[-1], "left"))  # where the group starts that may go on
             head = int(np.searchsorted(group, group[0], "right")) if parts else 0  # where the one ends that is out in parts
             if head and head < len(group):
