@@ -66,11 +66,11 @@ def _walk(children: dict[int, list[int]], start: list[int]) -> tuple[list[int],
     return order, leaves
 
 
-def dfs(edge: DataFrame, start: DataFrame) -> DataFrame:
+def dfs(edge: DataFrame, start: DataFrame, is_result: Column | None = None) -> DataFrame:
     """(doc_id, node_id, place, leaf): pre-order of a depth-first walk of each document's graph, children in order.
 
     leaf: no child was unvisited at the visit. The order of a walk over a general graph is sequential, so each document
-    is walked by itself in Python; memory is one document's edges.
+    is walked by itself in Python; memory is one document's edges. ``is_result`` filters what is returned, not the walk.
     """
     kind = edge.schema["doc_id"].dataType.simpleString()
     rows = edge.select("doc_id", "src", "ord", "pos", "dst").unionByName(start.select("doc_id", F.lit(None).cast("int").alias("src"), F.lit(-1).alias("ord"), F.col("node_id").cast("int").alias("pos"), F.col("node_id").alias("dst")))
@@ -85,20 +85,21 @@ def dfs(edge: DataFrame, start: DataFrame) -> DataFrame:
         last = set(leaves)
         return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "node_id": order, "place": range(len(order)), "leaf": [n in last for n in order]})
 
-    return rows.groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, node_id int, place int, leaf boolean")
+    out = rows.groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, node_id int, place int, leaf boolean")
+    return out if is_result is None else out.where(is_result)
 
 
-def forest_paths(spark, tree: str, roots: str, depth: int = 100) -> DataFrame:
+def forest_paths(spark, tree: str, roots: str, depth: int = 90) -> DataFrame:
     """Pre-order of a forest in SQL: views tree(src, dst, pos) and roots(node_id); (node_id, depth, path).
 
-    Ordering by path, an array of child positions, is the pre-order. For forests of up to ``depth`` levels.
+    Ordering by path, an array of child positions, is the pre-order. For forests of up to ``depth`` levels; a deeper one is an error.
     """
     return spark.sql(f"""
         WITH RECURSIVE walk(node_id, depth, path) AS (
             SELECT node_id, 0, array(node_id) FROM {roots}
             UNION ALL
-            SELECT t.dst, w.depth + 1, concat(w.path, array(t.pos)) FROM walk w JOIN {tree} t ON t.src = w.node_id WHERE w.depth < {depth}
-        ) SELECT * FROM walk""")
+            SELECT t.dst, w.depth + 1, concat(w.path, array(t.pos)) FROM walk w JOIN {tree} t ON t.src = w.node_id WHERE w.depth <= {depth}
+        ) SELECT * FROM walk WHERE assert_true(depth <= {depth}, 'the forest has more than {depth} levels') IS NULL""")
 
 
 def tree_leaves(edge: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -110,8 +111,3 @@ def edge_index(edge: DataFrame, side: str = "in") -> DataFrame:
     """(doc_id, node_id, others): sources of the edges into each node, or targets of those out of it, sorted."""
     key, other = ("dst", "src") if side == "in" else ("src", "dst")
     return edge.groupBy("doc_id", F.col(key).alias("node_id")).agg(F.sort_array(F.collect_list(other)).alias("others"))
-
-
-def iter_pre_order(children: dict[int, list[int]], start: list[int]) -> Iterator[int]:
-    """The pre-order for one graph in memory."""
-    yield from _walk(children, start)[0]

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from scholion.functions.spans import covered_text
 from scholion.functions.types import ARGUMENTS, FieldType, wider
 
 def by_node() -> WindowSpec:
@@ -75,12 +77,13 @@ def declared_defaults(layer: DataFrame) -> dict[str, Any]:
 def add_nodes(layer: DataFrame, new: DataFrame, default_fill: bool = True, order: str | None = None) -> DataFrame:
     """Append nodes ``new(doc_id, fields)``; they get the ids after their document's last one, in the order of ``order``.
 
-    ``default_fill`` puts the declared defaults where a field is missing.
+    ``default_fill`` puts the declared defaults where a field is missing. Without ``order`` it is that of all the new
+    fields, so that reruns agree: rows that tie are equal.
     """
     for name in set(new.columns) - set(layer.columns) - {order}:
         raise ValueError(f"{name} is not declared")
     last = layer.groupBy("doc_id").agg((F.max("node_id") + 1).alias("next_"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(order or F.monotonically_increasing_id())) - 1
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*([order] if order else map(F.to_json, [F.struct(*sorted(new.columns))])))) - 1
     rows = new.withColumn("place_", place).join(last, "doc_id", "left")
     rows = rows.withColumn("node_id", (F.coalesce("next_", F.lit(0)) + F.col("place_")).cast("int"))
     rows = rows.drop("place_", "next_", *([order] if order and order not in layer.columns else []))
@@ -182,8 +185,47 @@ def _drop_fields(layers: dict[str, DataFrame], fields: list[tuple[str, str]], na
 
 
 def add_text(texts: DataFrame, new: DataFrame) -> DataFrame:
-    """Add texts (doc_id, context, text); a context that a document has already is kept, the new text is left out."""
-    return texts.unionByName(new.join(texts.select("doc_id", "context"), ["doc_id", "context"], "left_anti").select(*texts.columns))
+    """Add texts (doc_id, context, text); a context that a document has already is kept, the new text is left out.
+
+    Of several new texts of one context the least is added.
+    """
+    first = F.row_number().over(Window.partitionBy("doc_id", "context").orderBy("text"))
+    fresh = new.join(texts.select("doc_id", "context"), ["doc_id", "context"], "left_anti").select(*texts.columns, first.alias("first_")).where("first_ = 1")
+    return texts.unionByName(fresh.select(*texts.columns))
+
+
+def add_layer(layers: dict[str, DataFrame], name: str, layer: DataFrame, replace: bool = False) -> dict[str, DataFrame]:
+    """With one more layer; a layer of that name is an error unless it is to be replaced."""
+    if name in layers and not replace:
+        raise ValueError(f"layer {name} exists")
+    return layers | {name: layer}
+
+
+def contains(layer: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nodes(doc_id, node_id) with ``present``: whether the layer has the node."""
+    own = layer.select("doc_id", "node_id").distinct().withColumn("present", F.lit(True))
+    return nodes.join(own, ["doc_id", "node_id"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
+
+
+def export(layer: DataFrame, texts: DataFrame | None = None, fields: tuple[str, ...] = (), ref: bool = False) -> DataFrame:
+    """The layer as a flat table to hand on: the fields (all, unless named) by document and node.
+
+    With ``texts(doc_id, context, text)`` spans become the text they cover; a span without its text becomes null.
+    ``ref`` adds the node's id as ``__ref``.
+    """
+    out, names = layer, fields or tuple(c for c in layer.columns if c not in ("doc_id", "node_id"))
+    for name in names if texts is not None else ():
+        meta = layer.schema[name].metadata or {}
+        if meta.get("kind") == "span":
+            own = texts.where(F.col("context") == meta["context"]).select("doc_id", F.col("text").alias("body_"))
+            out = out.join(own, "doc_id", "left").withColumn(name, covered_text(F.col("body_"), F.col(name))).drop("body_")
+    return out.select("doc_id", *([F.col("node_id").alias("__ref")] if ref else []), *names)
+
+
+def to_pandas(layer: DataFrame, texts: DataFrame | None = None, fields: tuple[str, ...] = (), ref: bool = False) -> pd.DataFrame:
+    """``export``, collected in order of documents and nodes. For layers that fit the driver's memory."""
+    rows = export(layer, texts, fields, True).toPandas().sort_values(["doc_id", "__ref"], ignore_index=True)
+    return rows if ref else rows.drop(columns="__ref")
 
 
 def merge_layers(*layers: DataFrame) -> DataFrame:

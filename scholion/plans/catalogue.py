@@ -14,7 +14,7 @@ from scholion.functions.types import FieldType, coerced, with_default
 from scholion.operators import graph, index, joins, layers, sequence, validate
 from scholion.plans import derived
 from scholion.session import shared_dir
-from scholion.sources import blocked, documents
+from scholion.sources import blocked, documents, tarred
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -253,7 +253,8 @@ def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_RUN = f"runs AS ({SQL_GROUP.format('', SQL_OVERLAP)})"
 
 
-@query(f"{SQL_BOTH}, {SQL_RUN} SELECT r.doc_id, r.node_id, t.node_id AS in_node_id, t.word AS in_word FROM runs r JOIN token t ON t.doc_id = r.doc_id AND t.node_id BETWEEN r.first AND r.last WHERE t.class <> 'other'")
+@query(f"""{SQL_BOTH}, {SQL_RUN}, inside AS (SELECT doc_id, node_id, CAST(unnest(range(first, last + 1)) AS INT) AS in_node_id FROM runs)
+SELECT r.doc_id, r.node_id, r.in_node_id, t.word AS in_word FROM inside r JOIN token t ON t.doc_id = r.doc_id AND t.node_id = r.in_node_id WHERE t.class <> 'other'""")
 def nodespan_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = token_layer(spark, sf_dir).where("class <> 'other'")  # leaves gaps
     return joins.expand_node_span(line_runs(spark, sf_dir), "tokens", words).select("doc_id", "node_id", "in_node_id", "in_word")
@@ -432,11 +433,36 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("user_id", "event_id", start.alias("start"), (start + F.floor(F.col("value") * 10)).alias("stop"))
 
 
-@query()
+#: The rule as a state machine over the events of each user: what is open, and its size.
+SQL_SWEEP = """WITH RECURSIVE seg AS (SELECT user_id, event_id, a AS start, a + CAST(floor(value * 10) AS BIGINT) AS stop FROM (SELECT *, CAST(floor(epoch(ts) / 60) AS BIGINT) AS a FROM events)),
+both_ends AS (SELECT user_id, event_id, start AS instant, 0 AS mark, stop - start AS size FROM seg WHERE stop IS NOT NULL UNION ALL SELECT user_id, event_id, greatest(stop - 1, start), 1, stop - start FROM seg WHERE stop IS NOT NULL),
+ev AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY instant, mark, event_id) AS k FROM both_ends),
+walk AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS held, CAST(NULL AS BIGINT) AS size, CAST(NULL AS BIGINT) AS won FROM ev UNION ALL
+SELECT e.user_id, e.k, CASE WHEN e.mark = 0 AND (w.held IS NULL OR e.size >= w.size) THEN e.event_id WHEN e.mark = 1 AND w.held = e.event_id THEN NULL ELSE w.held END,
+CASE WHEN e.mark = 0 AND (w.held IS NULL OR e.size >= w.size) THEN e.size ELSE w.size END, CASE WHEN e.mark = 1 AND w.held = e.event_id THEN e.event_id END
+FROM walk w JOIN ev e ON e.user_id = w.user_id AND e.k = w.k + 1)"""
+
+
+@query(f"{SQL_SWEEP} SELECT user_id, won AS ordinal, CAST(row_number() OVER (PARTITION BY user_id ORDER BY k) - 1 AS INT) AS place FROM walk WHERE won IS NOT NULL")
 def dominant_right(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.dominant_right(visits(spark, sf_dir).withColumnRenamed("event_id", "ordinal"), "user_id")
 
 
+@query(f"{SQL_SWEEP} SELECT s.user_id AS doc_id, CAST(s.event_id AS INT) AS node_id, CAST(s.start AS INT) AS start, CAST(s.stop AS INT) AS stop FROM seg s JOIN walk w ON w.user_id = s.user_id AND w.won = s.event_id")
+def dominant_right_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visits as spans of a layer, many of which overlap."""
+    rows = visits(spark, sf_dir).select(F.col("user_id").alias("doc_id"), F.col("event_id").cast("int").alias("node_id"), F.when(F.col("stop").isNotNull(), S.span(F.col("start"), F.col("stop"))).alias("text"))
+    return sequence.dominant_spans(rows, "text").select("doc_id", "node_id", "text.start", "text.stop")
+
+
+@query(f"{SQL_SWEEP} SELECT s.user_id AS doc_id, CAST(s.event_id AS INT) AS node_id, CAST(s.start AS INT) AS first, CAST(s.stop - 1 AS INT) AS last FROM seg s JOIN walk w ON w.user_id = s.user_id AND w.won = s.event_id")
+def dominant_right_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visits as runs of minutes, from first to last, many of which overlap."""
+    run = F.struct(F.col("start").cast("int").alias("left"), (F.col("stop") - 1).cast("int").alias("right"))
+    rows = visits(spark, sf_dir).select(F.col("user_id").alias("doc_id"), F.col("event_id").cast("int").alias("node_id"), F.when(F.col("stop").isNotNull(), run).alias("minutes"))
+    return sequence.dominant_node_spans(rows, "minutes").select("doc_id", "node_id", F.col("minutes.left").alias("first"), F.col("minutes.right").alias("last"))
+
+
 @query(f"""{SQL_BOTH}, {SQL_RUN} SELECT doc_id, node_id, first, last FROM runs""")
 def dominant_right_nodespan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token runs of lines do not overlap, so all of them stay."""
@@ -451,6 +477,16 @@ def align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.align_tokens(rows, look_ahead=1)
 
 
+@query(f"""{SQL_TOKEN} SELECT doc_id, CAST(node_id + node_id // 5 AS INT) AS node_id, start, stop FROM token UNION ALL
+SELECT doc_id, CAST(node_id + node_id // 5 + 1 AS INT), stop, stop FROM token WHERE node_id % 5 = 4""")
+def align_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's own tokens, after every fifth of them one that the text lacks: it is empty where the last one ends."""
+    words = token_layer(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "word"))).alias("t"))
+    tokens = F.flatten(F.transform("t", lambda x: F.when(x["node_id"] % 5 == 4, F.array(x["word"], F.lit("\x01absent"))).otherwise(F.array(x["word"]))))
+    rows = texts(spark, sf_dir).join(words.select("doc_id", tokens.alias("tokens")), "doc_id")
+    return sequence.align_tokens(rows, look_ahead=1)
+
+
 # Graphs
 
 
@@ -582,3 +618,132 @@ def blocked_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents.rows_to_documents(docs.select("doc_id", F.lit("main").alias("context"), "text"), {}, props)
     rows.select("data").write.format("blocked-documents").option("path", folder.removeprefix("file://")).option("docsPerBlock", "32").mode("append").save()
     return documents.documents_to_texts(blocked.read_blocked(spark, folder), id_prop="id")
+
+
+# Access, membership and edits of texts
+
+
+@query(f"SELECT doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, 7) AS toxic FROM {SQL_LABELLED}")
+def field_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(spark, sf_dir).select("doc_id", layers.field_or("quality", -1).alias("quality"), layers.field_or("toxic", 7).alias("toxic"))
+
+
+@query("SELECT doc_id, left(reverse(upper(source)), 2) AS ending FROM documents")
+def function_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ending = P.chain(F.upper, F.reverse, lambda c: F.substring(c, 1, 2))
+    return table(spark, sf_dir, "documents").select("doc_id", ending(F.col("source")).alias("ending"))
+
+
+@query(f"{SQL_TOKEN} SELECT doc_id, node_id, word FROM token WHERE class = 'word' AND start >= 0 AND stop <= 200 AND length(word) > 4")
+def query_on_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_layer(spark, sf_dir).where(P.eq("class", "word"))
+    found = found.where(P.covered_by("text", 0, 200))
+    return found.where(P.matches(["word"], lambda w: F.length(w) > 4)).select("doc_id", "node_id", "word")
+
+
+@query(f"{SQL_TOKEN} SELECT d.doc_id, 100 AS node_id, EXISTS (SELECT 1 FROM token t WHERE t.doc_id = d.doc_id AND t.node_id = 100) AS present FROM documents d")
+def node_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = texts(spark, sf_dir).select("doc_id", F.lit(100).alias("node_id"))
+    return layers.contains(token_layer(spark, sf_dir), wanted).select("doc_id", "node_id", "present")
+
+
+@query("""SELECT event_id, n >= a AND n_stop <= stop AS covered, n = a AND n_stop = stop AS same FROM (SELECT event_id, a, a + l AS stop, lead(a) OVER w AS n, lead(a + l) OVER w AS n_stop FROM
+(SELECT user_id, event_id, CAST(floor(epoch(ts) / 60) AS BIGINT) AS a, CAST(floor(value * 10) AS BIGINT) AS l FROM events WHERE value IS NOT NULL) WINDOW w AS (PARTITION BY user_id ORDER BY a, event_id)) WHERE n IS NOT NULL""")
+def span_covers_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = visits(spark, sf_dir).where("stop is not null").withColumn("s", S.span(F.col("start"), F.col("stop")))
+    rows = rows.withColumn("next", F.lead("s").over(Window.partitionBy("user_id").orderBy("start", "event_id"))).where("next is not null")
+    s, n = F.col("s"), F.col("next")
+    return rows.select("event_id", S.covers(s, n).alias("covered"), S.same_offsets(s, n).alias("same"))
+
+
+@query("SELECT doc_id, coalesce(length(text) >= 10 AND substring(text, 1, 5) = substring(text, 6, 5), false) AS twice, coalesce(length(text) >= 3 AND left(text, 3) = 'the', false) AS the FROM documents")
+def span_equals_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    at = lambda a, b: S.exact_span(t, F.lit(a), F.lit(b))
+    return texts(spark, sf_dir).select("doc_id", S.text_equals(t, at(0, 5), S.covered_text(t, at(5, 10))).alias("twice"), S.text_equals(t, at(0, 3), F.lit("the")).alias("the"))
+
+
+def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text, and its first 20 characters as its title; a second main text is left out."""
+    t = texts(spark, sf_dir)
+    main = t.select("doc_id", F.lit("main").alias("context"), "text")
+    title = t.select("doc_id", F.lit("title").alias("context"), F.substring("text", 1, 20).alias("text"))
+    return layers.add_text(main, title.unionByName(main.withColumn("text", F.lit("other"))).unionByName(title.withColumn("text", F.concat("text", F.lit("!")))))
+
+
+@query("SELECT doc_id, 'main' AS context, text FROM documents UNION ALL SELECT doc_id, 'title', left(text, 20) FROM documents")
+def add_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contexts(spark, sf_dir)
+
+
+@query(f"{SQL_TOKEN} SELECT t.doc_id, t.node_id, t.word, t.class, 'title' AS context FROM token t")
+def remove_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text goes, and with it the spans over it; the title stays."""
+    left, rest = layers.remove_text({"token": token_layer(spark, sf_dir)}, contexts(spark, sf_dir), "main", cascade=True)
+    return left["token"].join(rest.select("doc_id", "context"), "doc_id")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY r_regionkey) - 1 AS INT) AS node_id, r_name AS name FROM region")
+def clear_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that are added to a layer that was cleared count from 0."""
+    s = star(spark, sf_dir)
+    return layers.add_nodes(layers.clear(s["nation"]), s["region"].select("doc_id", "name", F.col("node_id").alias("at")), order="at").select("node_id", "name")
+
+
+@query(f"{SQL_TOKEN} SELECT t.doc_id, t.node_id AS __ref, t.word, substring(d.text, t.start + 1, t.stop - t.start) AS text FROM token t JOIN documents d ON d.doc_id = t.doc_id")
+def layer_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    main = texts(spark, sf_dir).select("doc_id", F.lit("main").alias("context"), "text")
+    return layers.export(token_layer(spark, sf_dir), main, ("word", "text"), ref=True)
+
+
+@query(f"{SQL_TOKEN} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY node_id) - 1 AS INT) AS node_id, start, stop, word FROM token WHERE class = 'word'")
+def compile_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layer with gaps, checked and made compact."""
+    main = texts(spark, sf_dir).select("doc_id", F.lit("main").alias("context"), "text")
+    done = validate.compiled({"token": token_layer(spark, sf_dir).where("class = 'word'")}, main)
+    return done["token"].select("doc_id", "node_id", "text.start", "text.stop", "word")
+
+
+# Indexes, archives and blocked files that are written and read back
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT DISTINCT doc_id FROM documents WHERE lang = 'de'")
+def index_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark, "index")
+    index.save_index(index.property_postings(table(spark, sf_dir, "documents"), "lang", "source"), folder)
+    return index.search(index.load_index(spark, folder), lang="de")
+
+
+@query("SELECT doc_id, 'main' AS context, text FROM documents")
+def tar_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark, "tar")
+    tarred.write_tar(_encoded(spark, sf_dir, "binary"), folder.removeprefix("file:").removeprefix("//"), root="corpus", gzip=True)
+    rows = tarred.read_tar(spark, folder).select(F.regexp_extract("member", "([0-9]+)[.]bin$", 1).cast("long").alias("doc_id"), "data")
+    return documents.documents_to_texts(rows)
+
+
+def _written(spark: SparkSession, sf_dir: str, **options: str) -> str:
+    blocked.register(spark)
+    folder = _folder(spark, "blocked")
+    docs = texts(spark, sf_dir)
+    props = docs.select("doc_id", F.create_map(F.lit("id"), F.col("doc_id").cast("string")).alias("props"))
+    rows = documents.rows_to_documents(docs.select("doc_id", F.lit("main").alias("context"), "text"), {}, props)
+    rows.select("data").write.format("blocked-documents").options(path=folder.removeprefix("file:").removeprefix("//"), **options).mode("append").save()
+    return folder
+
+
+@query("SELECT doc_id, 'main' AS context, text FROM documents")
+def blocked_framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of another compression with boundary marks each 4096 bytes."""
+    folder = _written(spark, sf_dir, codec="bzip2", boundary="12", docsPerBlock="7")
+    return documents.documents_to_texts(blocked.read_blocked(spark, folder), id_prop="id")
+
+
+@query("SELECT count(*) AS n FROM documents")
+def blocked_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents counted block by block."""
+    return blocked.read_blocked(spark, _written(spark, sf_dir, codec="lzma"), count_only=True).agg(F.sum("n").alias("n"))
