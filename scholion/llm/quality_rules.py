@@ -43,29 +43,15 @@ def _repeat_words(words: Column) -> Column:
         after = F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0)))
         return F.aggregate(F.zip_with(at, after, lambda p, q: F.least(F.lit(3), F.coalesce(q, p + 3) - p)), F.lit(0).cast("long"), lambda s, x: s + x)
 
-    def places(twins: Column) -> Column:
-        low = F.transform(twins, lambda x: x.bitwiseAND(0xFFFFFFFF))
-        return F.sort_array(F.array_distinct(F.concat(F.transform(twins, lambda x: F.shiftright(x, 32)), low)))
-
     def repeated(h: Column) -> Column:
-        """h: hashes of the windows. Sorts longs of a hash's upper and a place's lower bits, and keeps equal neighbours."""
-
-        def twins(keys: Column, mask: Column) -> Column:
-            def twin(x: Column, y: Column) -> Column:
-                i, j = x.bitwiseAND(mask), y.bitwiseAND(mask)
-                near = F.shiftright(x.bitwiseXOR(y), 1) <= F.shiftright(mask, 1)
-                same = (x.bitwiseXOR(y) >= 0) & near & (F.get(h, i.cast("int")) == F.get(h, j.cast("int")))
-                return F.when(same, F.shiftleft(i, 32).bitwiseOR(j))
-
-            return F.filter(F.zip_with(keys, F.slice(keys, 2, F.size(keys)), twin), lambda x: x.isNotNull())
+        """h: hashes of the windows, sorted with their places, so equal ones are neighbours however long the text is."""
+        keys = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
-        def keyed(mask: Column) -> Column:
-            keys = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))
-            return _with(keys, lambda k: twins(k, mask))
+        def twins(k: Column) -> Column:
+            pairs = F.zip_with(k, F.slice(k, 2, F.size(k)), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])))
+            return F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull()))))
 
-        bits = F.length(F.bin(F.size(h)))  # enough for every place
-        found = _with(F.pow(F.lit(2), bits).cast("long") - 1, keyed)
-        return _with(found, lambda t: F.when(F.size(t) > 0, _with(places(t), covered)).otherwise(F.lit(0).cast("long")))
+        return _with(_with(keys, twins), lambda at: F.when(F.size(at) > 0, covered(at)).otherwise(F.lit(0).cast("long")))
 
     hashes = F.slice(F.transform(words, lambda a, i: F.xxhash64(a, F.get(words, i + 1), F.get(words, i + 2))), 1, F.greatest(F.size(words) - 2, F.lit(0)))
     return F.when(F.size(words) > 3, _with(hashes, repeated)).otherwise(F.lit(0).cast("long"))

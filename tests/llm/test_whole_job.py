@@ -1,5 +1,6 @@
 """Cases that an operator must judge on the whole text: blank lines, wrapped notices, far terms, unspaced scripts."""
 
+import collections
 import random
 import textwrap
 
@@ -20,6 +21,18 @@ def test_blank_lines_do_not_count(spark):
     assert sorted((r.doc_id, r.n_lines, r.n_dup_lines, r.fails_duplicate_lines) for r in report) == [(0, 6, 0, False), (1, 6, 0, False), (2, 7, 1, False), (3, 0, 0, False), (4, 2, 0, False)]
 
 
+def test_repeats_of_long_texts(spark):
+    """Windows of texts of many words: a few repeated far apart, most of them, and none."""
+    rng = random.Random(8)
+    texts = [[f"w{rng.randrange(1500)}" for _ in range(400_000)], [f"w{rng.randrange(40)}" for _ in range(50_000)], [f"u{k}" for k in range(20_000)]]
+    df = spark.createDataFrame([(k, " ".join(w), "host") for k, w in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.n_repeat_words for r in quality_rules.text_metrics(df).collect()}
+    for k, w in enumerate(texts):
+        windows = list(zip(w, w[1:], w[2:]))  # noqa: B905
+        seen = collections.Counter(windows)
+        assert got[k] == len({p + j for p, x in enumerate(windows) if seen[x] > 1 for j in range(3)})
+
+
 NOTICES = {
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
