@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -17,13 +16,9 @@ from scholion.llm.workers import lean
 
 #: Splits text before the merges (fixed by the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: White space as the pattern's ``\\s`` has it.
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: No match of the pattern goes on from a character that is not white space to one that is, so such parts can be encoded one by one.
-PARTS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
 #: Nodes of the trie, after which a worker starts it anew.
-NODES = 400_000
-#: Bytes of the cache of parts, about, after which a worker starts it anew; larger batches are encoded in pieces.
+NODES = 200_000
+#: Bytes of the cache of words, about, after which a worker starts it anew; larger batches are encoded in pieces.
 CACHED = 48 << 20
 #: Characters of a batch that are encoded at once.
 LARGE = 1 << 20
@@ -105,25 +100,34 @@ class ByteBpe:
     def _last_token(self, word: bytes, lasts: list[int], depth: int) -> int:
         """The last token of the encoding of word[:depth]; lasts[d] is that of word[:d].
 
-        It is the one suffix that is a token and can follow the last token of what stands before it.
+        It is the one suffix that is a token and can follow the last token of what stands before it. Only one fits, so any
+        order finds it: first the last token made longer, then shorter suffixes, then longer ones.
         """
         ids, fits = self.ids, self.fits
-        # only one suffix fits, so any order finds it: first the last token made longer, then shorter suffixes, then longer ones
-        grown = depth - 1 - self.sizes[lasts[depth - 1]] if depth > 1 else 0
-        for start in (grown, *range(depth - 1, grown, -1), *range(grown - 1, max(0, depth - self.longest) - 1, -1)):
+        start = grown = depth - 1 - self.sizes[lasts[depth - 1]] if depth > 1 else 0
+        token = ids.get(word[start:depth])
+        if token is not None and (fits.get((lasts[start], token)) or self._fits(word, lasts, start, depth, token)):
+            return token
+        for start in range(depth - 1, grown, -1):
             token = ids.get(word[start:depth])
-            if token is None:
-                continue
-            before = lasts[start]
-            ok = fits.get((before, token))
-            if ok is None:
-                if len(fits) > NODES:
-                    fits.clear()
-                ok = fits[before, token] = self.merges_apart(before, token) if start else self.merges(word[:depth]) == [token]
-            if ok:
+            if token is not None and self._fits(word, lasts, start, depth, token):
+                return token
+        for start in range(grown - 1, max(0, depth - self.longest) - 1, -1):
+            token = ids.get(word[start:depth])
+            if token is not None and self._fits(word, lasts, start, depth, token):
                 return token
         raise ValueError("a byte has no token")
 
+    def _fits(self, word: bytes, lasts: list[int], start: int, depth: int, token: int) -> bool:
+        """Whether the token word[start:depth] can follow the last token before it."""
+        fits, before = self.fits, lasts[start]
+        ok = fits.get((before, token))
+        if ok is None:
+            if len(fits) > NODES:
+                fits.clear()
+            ok = fits[before, token] = self.merges_apart(before, token) if start else self.merges(word[:depth]) == [token]
+        return ok
+
     def merges(self, text: bytes) -> list[int]:
         """The encoding by the definition: the merge of lowest rank, leftmost first, again and again. For short texts."""
         out = [self.ids[bytes([b])] for b in text]
@@ -140,13 +144,14 @@ class ByteBpe:
         In sorted order the words come as a depth-first walk meets them; a prefix that they share, now or with words of
         earlier batches, is a node whose last token is known. ``lasts`` holds the last tokens along the walk's path.
         """
-        child, last = self.child, self.last
+        child, last, get = self.child, self.last, self.child.get
         for word in words:
-            node, lasts = 0, [-1]
+            node, lasts, new = 0, [-1], False
             for depth, b in enumerate(word, 1):
                 key = node << 8 | b
-                node = child.get(key)
-                if node is None:
+                node = None if new else get(key)
+                if node is None:  # so are all nodes below
+                    new = True
                     node = child[key] = len(last)
                     last.append(self._last_token(word, lasts, depth))
                 lasts.append(last[node])
@@ -160,49 +165,44 @@ class ByteBpe:
             d -= sizes[lasts[d]]
         return tuple(out[::-1])
 
-    def learn(self, parts: set[str]) -> None:
-        """Put the encodings of parts into the cache: those of their words, one after another.
-
-        Long words do not enter the trie.
-        """
+    def learn(self, words: set[str]) -> None:
+        """Put the encodings of words into the cache. Long words do not enter the trie."""
         if len(self.last) > NODES:
             self.clear()
-        words = {p: self.split(p) for p in parts}
-        raw = sorted({(w.encode(), w) for ws in words.values() for w in ws})
-        known: dict[str, tuple[int, ...]] = {}
-        short = [x for x in raw if len(x[0]) <= LONGEST]
-        for (_, w), ids in zip(short, self.insert([b for b, _ in short]), strict=True):
-            known[w] = ids
-        for b, w in raw:
+        raw = {w.encode(): w for w in words}
+        short = sorted(b for b in raw if len(b) <= LONGEST)
+        for b, ids in zip(short, self.insert(short), strict=True):
+            self._keep(raw[b], ids)
+        for b, w in raw.items():
             if len(b) > LONGEST:
                 lasts = [-1]
                 for d in range(1, len(b) + 1):
                     lasts.append(self._last_token(b, lasts, d))
-                known[w] = self._read(lasts)
-        for p, ws in words.items():
-            self.cache[p] = known[ws[0]] if len(ws) == 1 else tuple(i for w in ws for i in known[w])
-            self.cached += 200 + 3 * len(p) + 8 * len(self.cache[p])
+                self._keep(w, self._read(lasts))
+
+    def _keep(self, word: str, ids: tuple[int, ...]) -> None:
+        self.cache[word] = ids
+        self.cached += 200 + 3 * len(word) + 8 * len(ids)
 
-    def parts_of(self, text: str) -> list[str]:
-        """The text cut before white space, and around special tokens."""
+    def words_of(self, text: str) -> list[str]:
+        """The text as the pattern cuts it, and around special tokens."""
         if self.around is None or not any(s in text for s in self.special):
-            return PARTS(text)
+            return self.split(text)
         out: list[str] = []
         for part in self.around(text):
-            out += [part] if part in self.special else PARTS(part)
+            out += [part] if part in self.special else self.split(part)
         return out
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text."""
-        split = list(map(self.parts_of, texts))
         if sum(map(len, texts)) > LARGE:  # text by text, so that what is learned at once stays small
-            for parts in split:
-                ids: list[int] = []
-                for lo in range(0, len(parts), LARGE // 8):
-                    ids += self._known([parts[lo : lo + LARGE // 8]])[0]
+            for text in texts:
+                words, ids = self.words_of(text), []
+                for lo in range(0, len(words), LARGE // 8):
+                    ids += self._known([words[lo : lo + LARGE // 8]])[0]
                 yield ids
         else:
-            yield from self._known(split)
+            yield from self._known(list(map(self.words_of, texts)))
 
     def _known(self, split: list[list[str]]) -> list[list[int]]:
         if self.cached > CACHED:
@@ -212,7 +212,7 @@ class ByteBpe:
         for s in new & self.special.keys():
             self.cache[s] = (self.special[s],)
         self.learn(new - self.special.keys())
-        return [list(chain.from_iterable(map(self.cache.__getitem__, parts))) for parts in split]
+        return [list(chain.from_iterable(map(self.cache.__getitem__, words))) for words in split]
 
     def encode(self, text: str) -> list[int]:
         return next(self.encode_batch([text]))

@@ -164,3 +164,13 @@ def test_labels_of_any_type(spark, kind):
     value = {"date": "date'2020-01-02'", "binary": "x'00ff'"}.get(kind, f"cast(1 as {kind})")
     df = spark.range(3).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"), F.expr(f"if(id < 2, {value}, null)").alias("label"))
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_join.vector_components(df).collect()) == [(0, 1, 0), (1, 1, 0), (2, 0, 2)]
+
+
+def test_words_are_learned_once():
+    """A word that stands in other parts of a text, such as before other signs, is not encoded anew."""
+    own = bpe.ByteBpe(open(vocabulary("byte_bpe_50k.json"), encoding="utf-8").read())
+    seen, insert = [], own.insert
+    own.insert = lambda words: seen.extend(words) or insert(words)
+    for text in (" zlorbunt, zlorbunt", " zlorbunt. zlorbunt!", " zlorbunt<|endoftext|>"):
+        assert own.decode(own.encode(text)) == text
+    assert seen.count(b" zlorbunt") == 1
