@@ -22,7 +22,7 @@ CELL = 2_000
 PIVOTS = 4_096
 PIVOT_BYTES = 16 << 20
 #: Vectors of one side that a task compares at once; larger cells are cut into block pairs.
-BLOCK = 4_096
+BLOCK = 8_192
 
 
 @dataclass
@@ -90,6 +90,8 @@ def _placed(classes: DataFrame, pivots: dict[tuple, np.ndarray], radius: float,
                         r = np.array([reach.get((label, dim, j), -1.0) for j in range(len(p))])
                         # a neighbour x of y, at home in cell j: d(y, p_j) <= d(x, p_j) + radius <= d(y, p_own) + 2 radius
                         sees = (d <= near[:, None] + 2 * radius + 1e-6) & (d <= r[None, :] + radius + 1e-6) & (r[None, :] >= 0)
+                        # x lies on p_j's side of the plane half-way between the two pivots, so y is no further than radius beyond it
+                        sees &= d * d - (near * near)[:, None] <= 2 * radius * _distances(p[own], p) + 1e-6
                         sees[np.arange(len(g)), own] = True
                         at, cell = np.nonzero(sees)
                         home = cell == own[at]
@@ -101,9 +103,11 @@ def _placed(classes: DataFrame, pivots: dict[tuple, np.ndarray], radius: float,
                     yield pa.RecordBatch.from_pandas(out[["label", "dim", "cell", "home", "node", "copies", "embedding"]], schema=full, preserve_index=False)
 
     small = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("cell", pa.int64()), ("r", pa.float64())])
-    full = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("cell", pa.int64()), ("home", pa.bool_()), ("node", pa.int64()), ("copies", pa.int64()), ("embedding", pa.list_(pa.float64()))])
+    kind = classes.schema["embedding"].dataType.elementType
+    number = pa.float32() if isinstance(kind, FloatType) else pa.float64()
+    full = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("cell", pa.int64()), ("home", pa.bool_()), ("node", pa.int64()), ("copies", pa.int64()), ("embedding", pa.list_(number))])
     source = classes.select("label", "dim", "node", "copies", "embedding")
-    ddl = "label string, dim int, cell long, " + ("r double" if reach is None else "home boolean, node long, copies long, embedding array<double>")
+    ddl = "label string, dim int, cell long, " + ("r double" if reach is None else f"home boolean, node long, copies long, embedding array<{kind.simpleString()}>")
     return source.mapInArrow(lean(run), ddl)
 
 
@@ -118,7 +122,7 @@ def _label(vectors: DataFrame, label_col: str) -> Column:
 def _block_links(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Links from the home vectors of one block to the vectors of another: degrees, and a forest of the links."""
-        left, right = pdf[pdf.left], pdf[~pdf.left]
+        left, right = pdf[pdf.left], pdf[pdf.right]
         if left.empty or right.empty:
             return pd.DataFrame({"src": [], "dst": [], "n": []}).astype("int64")
         order = np.argsort(right["node"].to_numpy(), kind="stable")
@@ -157,16 +161,18 @@ def vector_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     Equal vectors of a label form one class first. A label with many classes gets pivots; a vector is at home in the
     cell of its nearest pivot, and is copied to each other cell that may hold a neighbour: by the triangle inequality
     those with d(v, p) <= d(v, home pivot) + 2 r and d(v, p) <= the cell's radius + r, r the Euclidean distance that
-    belongs to the threshold. Then each cell finds all neighbours of its home vectors by itself. A cell of any size is
+    belongs to the threshold, and no further than r beyond the plane half-way between the two pivots. Then each cell finds all neighbours of its home vectors by itself. A cell of any size is
     cut into pairs of blocks, each a task of its own, so a hot label costs more tasks, not a larger one.
 
     Links with nothing: vectors that are null, empty, zero or hold null or non-finite components, null labels.
     Vectors of different dimensions never link. Labels may have any type. Repeated rows count as so many vectors; extra columns are ignored.
     """
-    v = vectors.select(F.col(id_col).alias("vec_id"), _label(vectors, label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    # single precision is kept as such until a task takes the vectors as doubles, which loses nothing
+    number = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    v = vectors.select(F.col(id_col).alias("vec_id"), _label(vectors, label_col).alias("label"), F.col(vector_col).cast(f"array<{number}>").alias("embedding"))
     # x + 0.0 makes -0.0 and 0.0 the same; non-finite components differ from themselves minus themselves
     good = F.expr("label is not null and size(embedding) > 0 and forall(embedding, x -> coalesce(x - x = 0.0, false)) and exists(embedding, x -> x <> 0.0)")
-    v = v.withColumn("embedding", F.when(F.coalesce(good, F.lit(False)), F.expr("transform(embedding, x -> x + 0.0D)")))
+    v = v.withColumn("embedding", F.when(F.coalesce(good, F.lit(False)), F.expr(f"transform(embedding, x -> x + cast(0 as {number}))")))
     grouped = v.where("embedding is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
     node = F.xxhash64("label", "embedding")
     classes = materialize(grouped.select("label", "embedding", "copies", node.alias("node"), F.size("embedding").alias("dim")), "vectors")
@@ -178,13 +184,19 @@ def vector_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     if pivots:
         for r in _placed(classes, pivots, radius, None).groupBy("label", "dim", "cell").agg(F.max("r").alias("r")).collect():
             near[r.label, r.dim, r.cell] = r.r
-    placed = materialize(_placed(classes, pivots, radius, near), "cells")
+    # placed twice, for the sizes of the cells and for their vectors, rather than stored
+    placed = _placed(classes, pivots, radius, near)
     blocks = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(hinted(blocks), ["label", "dim", "cell"]).withColumn("block", F.pmod(F.hash(F.lit(3), "node"), "blocks"))
-    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = placed.where("home").select("label", "dim", "cell", F.col("block").alias("i"), each.alias("j"), F.lit(True).alias("left"), "node", "copies", "embedding")
-    right = placed.select("label", "dim", "cell", each.alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), "node", "copies", "embedding")
-    found = left.union(right).groupBy("label", "dim", "cell", "i", "j").applyInPandas(_block_links(threshold), "src long, dst long, n long")
+    placed = placed.join(hinted(materialize(blocks, "blocks")), ["label", "dim", "cell"]).withColumn("block", F.pmod(F.hash(F.lit(3), "node"), "blocks"))
+    # a vector is on the right in its block's column and, if at home, on the left in its block's row; where they cross it is sent once
+    each = F.sequence(F.lit(0), F.col("blocks") - 1)
+    place = lambda i, j, left, right: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), left.alias("left"), right.alias("right"))
+    block = F.col("block")
+    column = F.transform(each, lambda k: place(k, block, F.col("home") & (k == block), F.lit(True)))
+    row = F.filter(F.transform(each, lambda k: place(block, k, F.lit(True), F.lit(False))), lambda x: F.col("home") & (x["j"] != block))
+    sent = placed.select("label", "dim", "cell", "node", "copies", "embedding", F.explode(F.concat(column, row)).alias("p"))
+    sent = sent.select("label", "dim", "cell", "p.i", "p.j", "p.left", "p.right", "node", "copies", "embedding")
+    found = sent.groupBy("label", "dim", "cell", "i", "j").applyInPandas(_block_links(threshold), "src long, dst long, n long")
     found = materialize(found, "links")
     degrees = found.groupBy(F.col("src").alias("node")).agg(F.sum("n").alias("n"))
     return VectorLinks(members, degrees, found.where("src <> dst").select("src", "dst").distinct())

@@ -174,3 +174,27 @@ def test_words_are_learned_once():
     for text in (" zlorbunt, zlorbunt", " zlorbunt. zlorbunt!", " zlorbunt<|endoftext|>"):
         assert own.decode(own.encode(text)) == text
     assert seen.count(b" zlorbunt") == 1
+
+
+def test_vectors_are_copied_to_few_cells(spark):
+    """Single precision stays, and a vector goes only to cells whose side of the plane between two pivots it is near."""
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.concatenate([rng.normal(size=(200, 16)), rng.normal(size=(4, 16))]).astype(np.float32)
+    x = np.concatenate([x, x[:100] + 0.02 * rng.normal(size=(100, 16)).astype(np.float32)])
+    rows = [("a", 16, k, 1, v) for k, v in enumerate(x.tolist())]
+    classes = spark.createDataFrame(rows, "label string, dim int, node long, copies long, embedding array<float>")
+    pivots, radius = {("a", 16): unit(x[200:204].astype(float))}, float(np.sqrt(0.04))
+    near = {(r.label, r.dim, r.cell): r.r for r in embedding_join._placed(classes, pivots, radius, None).groupBy("label", "dim", "cell").agg(F.max("r").alias("r")).collect()}
+    placed = embedding_join._placed(classes, pivots, radius, near)
+    assert placed.schema["embedding"].dataType.simpleString() == "array<float>"
+    p, u = pivots["a", 16], unit(x.astype(float))
+    d = np.sqrt(np.maximum(0, 2 - 2 * u @ p.T))
+    own = d.argmin(axis=1)
+    cells = {(r.node, r.cell) for r in placed.collect()}
+    linked = np.argwhere(u @ u.T >= 0.98)
+    assert len(linked) > 400
+    assert all((b, own[a]) in cells for a, b in linked.tolist())  # each neighbour of a home vector is there
+    for node, cell in cells:
+        between = np.linalg.norm(p[cell] - p[own[node]])
+        assert d[node, cell] ** 2 - d[node, own[node]] ** 2 <= 2 * radius * between + 1e-5
