@@ -221,10 +221,23 @@ def _differ(left: Column, right: Column) -> Column:
     return F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def _folded(left: Column, right: Column, halvings: int) -> tuple[Column, Column]:
+    """Two parity sketches, the longer one folded to the length of the other one."""
+
+    n = lambda x: F.shiftright(F.size(x), 1)
+
+    def half(x: Column, y: Column) -> Column:
+        return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, F.lit(1), n(x)), F.slice(x, n(x) + 1, n(x)), lambda u, v: u.bitwiseXOR(v))).otherwise(x)
+
+    for _ in range(halvings):
+        left, right = half(left, right), half(right, left)
+    return left, right
+
+
 def _possible(pairs: DataFrame, sketches: DataFrame, percent: int, small: bool) -> DataFrame:
     """Pairs whose sketches allow the threshold: the parities of two sets differ in no more places than the sets do in n-grams.
 
-    Without ``small`` the pairs have been held against the small sketches before.
+    Without ``small`` the pairs have been held against the sketches before.
     """
     # at least ``differ`` n-grams are in one set only, so at most (n_a + n_b - differ) / 2 are in both
     allowed = f"100 * (n_a + n_b - differ) >= {percent} * (n_a + n_b + differ)"
@@ -238,7 +251,9 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int, small: bool)
                 rows = rows.withColumn(x, F.when(F.size(x) > F.size(y), half).otherwise(F.col(x)))
         return rows.withColumn("differ", _differ(F.col("left"), F.col("right"))).where(allowed).select("a", "b", "n_a", "n_b")
 
-    some = tried(pairs, "small", 0) if small else pairs.select("a", "b", "n_a", "n_b")
+    if not small:
+        return pairs.select("a", "b", "n_a", "n_b")
+    some = tried(pairs, "small", 0)
     large = f"least(n_a, n_b) > {64 * SKETCH}"
     # sizes differ by 100 / percent at most, and the lengths by a halving more
     return some.where(f"not ({large})").union(tried(some.where(large), "sketch", (100 // percent).bit_length()))
@@ -371,12 +386,15 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
             break
         discard(open_)
     places = [F.col("small")[k].alias(f"s{k}") for k in range(SKETCH)]
-    open_ = open_.join(sketches.select("node", *places), "node")
+    open_ = open_.join(sketches.select("node", *places, "sketch"), "node")
     open_ = materialize(open_, "open")
-    side = lambda x: [F.col("g"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(SKETCH))]
+    side = lambda x: [F.col("g"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(SKETCH)), F.col("sketch").alias(f"w_{x}")]
     differ = " + ".join(f"bit_count(a{k} ^ b{k})" for k in range(SKETCH))
     # the sketches are compared where the pairs meet, so that pairs they rule out are never rows
     alike = F.expr(f"100 * (n_a + n_b - ({differ})) >= {percent} * (n_a + n_b + ({differ}))")
+    # the sketches of larger sets are long enough to tell them apart, where the small ones are full
+    more_ = _differ(*_folded(F.col("w_a"), F.col("w_b"), (100 // percent).bit_length()))
+    alike &= (F.least("n_a", "n_b") <= 64 * SKETCH) | (100 * (F.col("n_a") + F.col("n_b") - more_) >= percent * (F.col("n_a") + F.col("n_b") + more_))
     rest = open_.select(side("a")).join(open_.select(side("b")), "g").where(F.expr("a < b and c_a <> c_b") & fits & alike).select("a", "b", "n_a", "n_b").distinct()
     rest = materialize(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     more = _verified(docs, text_col, size, percent, fragments, rest, sketches, small=False)

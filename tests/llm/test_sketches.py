@@ -1,0 +1,30 @@
+"""Unlike large sets that share a fragment are told apart where they meet, and no similar pair is lost."""
+
+import random
+
+from scholion.llm import ngram_join
+
+
+def test_large_sets_make_no_pairs(spark, monkeypatch):
+    pick = random.Random(5)
+    old = ngram_join.materialize
+    seen = []
+
+    def counted(df, name="table"):
+        out = old(df, name)
+        if name == "pairs":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    # groups without links: all texts hold the same passage, so that many agree on a fragment, and are too large for small sketches
+    texts = [" ".join(f"w{pick.randrange(10**9)}" for _ in range(1500)) for _ in range(12)]
+    common = ["same"] * 8
+    rows = [(k, " ".join([*common, t])) for k, t in enumerate(texts)]
+    words = rows[3][1].split()
+    words[700] = "other"
+    rows.append((50, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_components(docs, size=1, percent=80).collect()}
+    assert got == {**{k: k for k in range(12)}, 50: 3}
+    assert seen[-1] == 0, seen
