@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholion.llm.bytesets import mix, shingle_sets
@@ -23,6 +23,8 @@ SEEN = 100_000
 BLOCK = 500_000
 #: Classes that agree on a fragment and are held to name their group; more of them are a group by the fragment's key.
 GROUP = 100_000
+#: Classes that agree on a fragment and make it a common one, of which a class may leave out as many as its plan spares.
+COMMON = 4
 #: Longs of the parity sketch that every class has; larger classes have one with a bit or more for each n-gram too.
 SKETCH = 8
 #: Times that the components are taken anew before what is left between them is paired in full.
@@ -31,6 +33,8 @@ ROUNDS = 2
 GROWTH = 1.5
 #: Cuts that are tried for a set that leaves too many fragments empty.
 CUTS = 4
+#: Most fragments of a cut that a set leaves out (23 bits of its lot).
+MOST_ROOM = (1 << 23) - 1
 SIGN = np.uint64(1 << 63)
 
 
@@ -52,6 +56,10 @@ class FragmentPlan:
     ``spare + 1`` or more. If one of them leaves at most ``spare`` fragments empty, they agree on one that is not empty.
     Sets that leave more empty are cut in other ways too, by other hashes, and after ``CUTS`` of them give their empty
     fragments as well; so no pair is missed.
+
+    A set that leaves fewer than ``spare`` empty has room to leave out as many more, the commonest: of ``spare + 1``
+    fragments that two sets agree on, the rarest (in an order that is the same for all sets, empty ones first) is left
+    out by neither.
     """
 
     def __init__(self, percent: int):
@@ -63,8 +71,11 @@ class FragmentPlan:
         for low, high in zip(self.sizes, self.sizes[1:], strict=False):
             differ = 2 * (high - 1) * (100 - percent) // (100 + percent)
             least = -(-percent * low // 100)
-            empty = (differ + 1) * (differ / (differ + 1)) ** least
-            spare.append(int(np.ceil(empty + np.sqrt(empty))) if differ else 0)
+            spare.append(0)
+            for _ in range(3 if differ else 0):  # the spare fragments leave more of them empty
+                many = differ + 1 + spare[-1]
+                empty = many * (1 - 1 / many) ** least
+                spare[-1] = int(np.ceil(empty + np.sqrt(empty)))
             fragments.append(differ + 1 + spare[-1])
         self.fragments, self.spare = np.array(fragments, np.int64), np.array(spare, np.int64)
 
@@ -73,9 +84,13 @@ class FragmentPlan:
 
     def keys(self, values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, key): a key for each fragment of each set and scheme that the set can meet a partner in."""
+        return self.lots(values, bounds)[:2]
+
+    def lots(self, values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, key, lot): the keys, and the lot of each: 256 times the room of the set in this cut, and the cut's number."""
         n = np.diff(bounds)
         first, last = self.scheme(n), self.scheme(100 * n // self.percent)
-        rows_out, keys_out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        rows_out, keys_out, lots_out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
         for step in range(int((last - first).max(initial=-1)) + 1):
             rows = np.flatnonzero((n > 0) & (first + step <= last))
             for cut in range(CUTS):
@@ -95,14 +110,18 @@ class FragmentPlan:
                 place = lambda r, f: mix((((scheme[r] * CUTS + cut) << 32) + f + 1).astype(np.uint64))  # noqa: B023, E731
                 rows_out.append(rows[owner[begin]])
                 keys_out.append(mix(np.add.reduceat(mix(u), begin) + place(owner[begin], at[begin].astype(np.int64))))
-                poor = np.flatnonzero(fragments - np.bincount(owner[begin], minlength=len(rows)) > self.spare[scheme])
+                room = self.spare[scheme] - fragments + np.bincount(owner[begin], minlength=len(rows))
+                lots = (np.clip(room, 0, MOST_ROOM) * 256 + scheme * CUTS + cut).astype(np.int32)
+                lots_out.append(lots[owner[begin]])
+                poor = np.flatnonzero(room < 0)
                 if cut == CUTS - 1:
                     for r in poor.tolist():
                         f = np.setdiff1d(np.arange(fragments[r]), at[owner == r].astype(np.int64))
                         rows_out.append(np.full(len(f), rows[r]))
                         keys_out.append(mix(place(np.full(len(f), r), f)))
+                        lots_out.append(np.full(len(f), lots[r]))
                 rows = rows[poor]
-        return np.concatenate(rows_out), np.concatenate(keys_out).view(np.int64)
+        return np.concatenate(rows_out), np.concatenate(keys_out).view(np.int64), np.concatenate(lots_out)
 
 
 def _names(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -143,7 +162,10 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
 
 
 def _fragments(docs: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
-    """(h, node, n): the key of each fragment of each set. A task sends a set once, as far as it remembers."""
+    """(h, node, lot): the key of each fragment of each set; lot, 2**32 times its lot in the plan, and the set's size.
+
+    A task sends a set once, as far as it remembers.
+    """
     plan = FragmentPlan(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,11 +182,67 @@ def _fragments(docs: DataFrame, text_col: str, size: int, percent: int) -> DataF
                     seen.clear()
                 fresh &= n > 0
                 own = np.concatenate([[0], np.cumsum(n[fresh])])
-                row, key = plan.keys(values[np.repeat(fresh, n)], own)
+                row, key, lot = plan.lots(values[np.repeat(fresh, n)], own)
                 at = np.flatnonzero(fresh)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[at]), pa.array(n[at].astype(np.int32))], ["h", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[at]), pa.array((lot.astype(np.int64) << 32) + n[at])], ["h", "node", "lot"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "h long, node long, lot long")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, node, lot) sorted by h and node become (h, node, lot, often): those with keys of two nodes or more.
+
+    often is the number of the key's nodes, ``GROUP`` at most. Of keys of fewer than ``COMMON`` nodes that have the same
+    nodes, one goes on, as far as a batch tells.
+    """
+
+    def out(h: np.ndarray, node: np.ndarray, lot: np.ndarray, often: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(node), pa.array(lot), pa.array(np.minimum(often, GROUP).astype(np.int32))], ["h", "node", "lot", "often"])
+
+    def counted(h: np.ndarray, node: np.ndarray, lot: np.ndarray) -> pa.RecordBatch:
+        begin = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+        many = np.diff(np.append(begin, len(h)))
+        wanted = many > 1
+        few = np.flatnonzero(wanted & (many < COMMON))
+        if len(few):
+            same = mix(np.add.reduceat(mix(node.view(np.uint64)), begin)[few] + many[few].astype(np.uint64))
+            wanted[few] = False
+            wanted[few[np.unique(same, return_index=True)[1]]] = True
+        keep = np.repeat(wanted, many)
+        return out(h[keep], node[keep], lot[keep], np.repeat(many, many)[keep])
+
+    rows, large = [np.zeros(0, np.int64)] * 3, False  # the last key's rows; whether it is large and its rows are out
+    for batch in batches:
+        rows = [np.concatenate([x, c.to_numpy()]) for x, c in zip(rows, batch.columns, strict=True)]
+        h, node, _ = rows
+        keep = np.ones(len(h), bool)
+        keep[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
+        rows = [x[keep] for x in rows]
+        if not len(rows[0]):
+            continue
+        if large:
+            end = int(np.searchsorted(rows[0], rows[0][0], "right"))
+            yield out(*(x[1:end] for x in rows), np.full(end - 1, GROUP))
+            large = end == len(rows[0])
+            rows = [x[-1:] if large else x[end:] for x in rows]
+            if large:
+                continue
+        last = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+        yield counted(*(x[:last] for x in rows))
+        rows = [x[last:] for x in rows]
+        if len(rows[0]) > GROUP:
+            large = True
+            yield out(*rows, np.full(len(rows[0]), GROUP))
+            rows = [x[-1:] for x in rows]
+    if not large:
+        yield counted(*rows)
+
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "h long, node long, n int")
+def _rare(met: DataFrame) -> DataFrame:
+    """(h, node, n) of the rows of ``_counted`` without the common keys that their sets have room to leave out."""
+    rank = F.row_number().over(Window.partitionBy("node", F.expr("shiftright(lot, 32) & 255")).orderBy(F.desc("often"), "h"))
+    common = met.where(F.col("often") >= COMMON).withColumn("rank", rank).where("rank > shiftright(lot, 40)")
+    return met.where(F.col("often") < COMMON).union(common.drop("rank")).select("h", "node", F.expr("cast(lot & 4294967295 as int)").alias("n"))
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +406,8 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
        with one another.
     2. The global n-gram order is cut into fragments (``FragmentPlan``), each joined by itself: two similar sets agree
        on the whole of one fragment at least. A fragment that holds common n-grams only is shared as a whole or not at
-       all, so common passages make no pairs of documents that differ otherwise.
+       all, so common passages make no pairs of documents that differ otherwise. Of the fragments that many classes
+       agree on, each class leaves out as many, the commonest, as the cut has to spare for it.
     3. Classes that agree on a fragment are first paired with one hub class of that fragment, then with hubs of other
        components as long as that links any. What remains between different components after that is paired in full, within the length bound and the bound of the parity sketches;
        fragments all of whose classes are in one component are done. So a group of near copies costs a linear number of
@@ -343,8 +422,10 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sets = materialize(_sets(docs, id_col, text_col, size), "sets")
     members = sets.select("doc_id", F.col("n").alias("n_shingles"), "node")
     sketches = materialize(sets.where("n > 0").groupBy("node").agg(F.first("small").alias("small"), F.first("sketch").alias("sketch")), "sketches")
-    met = _fragments(docs, text_col, size, percent).repartition("h").sortWithinPartitions("h", "node")
-    shared = materialize(met.mapInArrow(lean(_met), "g long, node long, n int, hub long").distinct(), "shared")
+    by_key = lambda rows: rows.repartition("h").sortWithinPartitions("h", "node")
+    met = materialize(by_key(_fragments(docs, text_col, size, percent)).mapInArrow(lean(_counted), "h long, node long, lot long, often int"), "met")
+    shared = materialize(by_key(_rare(met)).mapInArrow(lean(_met), "g long, node long, n int, hub long").distinct(), "shared")
+    discard(met)
 
     sizes = sets.where("n > 0").groupBy(F.col("node").alias("hub")).agg(F.first(F.col("n").cast("int")).alias("n_hub"))
     fits = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
